@@ -24,24 +24,23 @@ def launched_substances(domain: Domain) -> DataFrame:
 
 
 def launch_items(domain: Domain, focus_lab) -> DataFrame:
-    """Per launched article and substance, how often a sold unit counts in each measure.
+    """Catalogue of launched articles: substance, and which measures a sold unit counts in.
 
     The focus count takes every type the lab makes while the total takes generics only, so a share may
     exceed 100. An article of unknown maker counts in the total but for no one.
     """
     generic = F.col("type").isin(*TYPES_GENERIC_TOTAL)
-    focus = F.col("maker_lab") == focus_lab
-    competitor = (F.col("maker_lab") != focus_lab) & generic
     return (
         domain.article.join(launch_articles(domain), "article_id", "left_semi")
         .join(domain.article_group, "article_id")
         .join(domain.dci.select("group_id", "dci"), "group_id")
-        .groupBy("article_id", "dci")
-        .agg(
-            F.count_if(focus).alias("focus_n"),
-            F.count_if(competitor).alias("competitor_n"),
-            F.count_if(F.col("type") == TYPE_ORIGINATOR).alias("originator_n"),
-            F.count_if(generic).alias("total_n"),
+        .select(
+            "article_id",
+            "dci",
+            (F.col("maker_lab") == focus_lab).alias("is_focus"),
+            ((F.col("maker_lab") != focus_lab) & generic).alias("is_competitor"),
+            (F.col("type") == TYPE_ORIGINATOR).alias("is_originator"),
+            generic.alias("is_generic"),
         )
     )
 
@@ -49,17 +48,17 @@ def launch_items(domain: Domain, focus_lab) -> DataFrame:
 def launch_sales(domain: Domain, focus_lab, start: int, end: int) -> DataFrame:
     """Quantities and share per outlet and substance, for the pairs that have sales."""
 
-    def sold(n: str) -> Column:
-        return sum_or_zero(F.col("qty") * F.col(n))
+    def sold(flag: str) -> Column:
+        return sum_or_zero(F.when(F.col(flag), F.col("qty")))
 
     return (
         sell(in_period(domain.sales, start, end), launch_items(domain, focus_lab))
         .groupBy("outlet_id", "dci")
         .agg(
-            truncated_share(sold("focus_n"), sold("total_n")).alias("share"),
-            sold("focus_n").alias("focus_qty"),
-            sold("competitor_n").alias("competitor_qty"),
-            sold("originator_n").alias("originator_qty"),
+            truncated_share(sold("is_focus"), sold("is_generic")).alias("share"),
+            sold("is_focus").alias("focus_qty"),
+            sold("is_competitor").alias("competitor_qty"),
+            sold("is_originator").alias("originator_qty"),
         )
     )
 

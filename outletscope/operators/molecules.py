@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletscope.constants import (
@@ -16,7 +16,7 @@ from outletscope.constants import (
     TYPES_BIOSIMILAR,
     MoleculeRule,
 )
-from outletscope.functions.numbers import from_cents, gap_to_target, share_percent, sum_or_zero, to_cents
+from outletscope.functions.numbers import from_cents, gap_to_target, share_percent, to_cents
 from outletscope.functions.text import classify_molecule, starts_with_any, substance_name
 from outletscope.operators.joins import in_period, sell
 from outletscope.sources.domain import Domain
@@ -46,10 +46,7 @@ def priced_articles(domain: Domain) -> DataFrame:
 def molecule_items(
     domain: Domain, focus_lab, rules: Rules = MOLECULE_RULES, prefixes: Sequence[str] = GROUP_PREFIXES
 ) -> DataFrame:
-    """Per article and molecule, what one sold unit adds to quantity and value.
-
-    All rows an article has in the joined tables count, so they are merged into a count and a price sum.
-    """
+    """Catalogue of scored articles: molecule, side and price. Each joined row counts, priced or not."""
     substances = classified_substances(domain, rules).filter(F.col("sort_order").isNotNull())
     return (
         priced_articles(domain)
@@ -58,8 +55,7 @@ def molecule_items(
         .join(domain.article_group, "article_id")
         .join(prefixed_groups(domain, prefixes), "group_id", "left_semi")
         .join(substances, "group_id")
-        .groupBy("article_id", "sort_order", (F.col("maker_lab") == focus_lab).alias("is_focus"))
-        .agg(F.count("*").alias("n"), sum_or_zero(F.col("price_cents")).alias("cents"))
+        .select("article_id", "sort_order", (F.col("maker_lab") == focus_lab).alias("is_focus"), "price_cents")
     )
 
 
@@ -78,46 +74,59 @@ def molecule_scorecard(
     """
     rules = sorted(rules)
     sold = sell(in_period(domain.collection, start, end), molecule_items(domain, focus_lab, rules, prefixes))
-    sides = {"focus": F.col("is_focus"), "other": ~F.col("is_focus")}
-
-    sums = []
-    for rule in rules:
-        for side, on_side in sides.items():
-            hit = (F.col("sort_order") == rule.sort_order) & on_side
-            for measure, unit in (("qty", "n"), ("cents", "cents")):
-                amount = F.when(hit, F.col("qty") * F.col(unit))
-                sums.append(sum_or_zero(amount).alias(f"{side}_{measure}_{rule.sort_order}"))
-
-    def amount(name: str, orders: Sequence[int]):
-        total = F.lit(0).cast("bigint")
-        for order in orders:
-            total = total + F.coalesce(F.col(f"{name}_{order}"), F.lit(0))
-        return total
-
-    def card_row(display: str, orders: Sequence[int], sort_order: int, is_total: bool):
+    sides = {"focus": "is_focus", "other": "NOT is_focus"}
+    measures = {"qty": "qty", "cents": "qty * price_cents"}
+    sums = [
+        F.expr(f"sum(CASE WHEN sort_order = {rule.sort_order} AND {on_side} THEN {amount} END)").alias(
+            f"{side}_{measure}_{rule.sort_order}"
+        )
+        for rule in rules
+        for side, on_side in sides.items()
+        for measure, amount in measures.items()
+    ]
+
+    def amount(name: str, orders: Sequence[int]) -> Column:
+        return F.expr(" + ".join(f"coalesce({name}_{order}, 0L)" for order in orders))
+
+    def card_row(display: str, orders: Sequence[int], sort_order: int, is_total: bool) -> Column:
         return F.struct(
             F.lit(display).alias("molecule"),
             amount("focus_qty", orders).alias("focus_qty"),
             amount("other_qty", orders).alias("other_qty"),
-            from_cents(amount("focus_cents", orders)).alias("focus_value"),
-            from_cents(amount("other_cents", orders)).alias("other_value"),
+            amount("focus_cents", orders).alias("focus_cents"),
+            amount("other_cents", orders).alias("other_cents"),
             F.lit(is_total).alias("is_total"),
             F.lit(sort_order).alias("sort_order"),
         )
 
     rows = [card_row(rule.display, [rule.sort_order], rule.sort_order, False) for rule in rules]
     rows.append(card_row(TOTAL_NAME, [rule.sort_order for rule in rules], TOTAL_SORT, True))
-    whole = F.col("focus_value") + F.col("other_value")
+    focus, other = from_cents(F.col("focus_cents")), from_cents(F.col("other_cents"))
     return (
         domain.outlet.select("outlet_id")
         .join(sold.groupBy("outlet_id").agg(*sums), "outlet_id", "left")
         .select("outlet_id", F.inline(F.array(*rows)))
-        .withColumn("share", share_percent(F.col("focus_value"), whole))
+        .select(
+            "outlet_id",
+            "molecule",
+            "focus_qty",
+            "other_qty",
+            focus.alias("focus_value"),
+            other.alias("other_value"),
+            share_percent(focus, focus + other).alias("share"),
+            "is_total",
+            "sort_order",
+        )
     )
 
 
+def gap_columns(share: Column, focus: Column, other: Column, targets: Sequence[float], suffix: str = "") -> list[Column]:
+    """Total share, and the focus value missing to each target."""
+    gaps = [gap_to_target(share, focus, focus + other, t).alias(f"gap_{t}{suffix}") for t in targets]
+    return [share.alias(f"total_share{suffix}"), *gaps]
+
+
 def share_gap(scorecard: DataFrame, targets: Sequence[float] = GAP_TARGETS) -> DataFrame:
-    """Per outlet, the total share and the focus value missing to each target."""
-    whole = F.col("focus_value") + F.col("other_value")
-    gaps = [gap_to_target(F.col("share"), F.col("focus_value"), whole, t).alias(f"gap_{t}") for t in targets]
-    return scorecard.filter("is_total").select("outlet_id", F.col("share").alias("total_share"), *gaps)
+    """The gaps of each outlet, from its total row."""
+    columns = gap_columns(F.col("share"), F.col("focus_value"), F.col("other_value"), targets)
+    return scorecard.filter("is_total").select("outlet_id", *columns)

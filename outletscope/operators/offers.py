@@ -31,7 +31,7 @@ def focus_links(domain: Domain, focus_lab, as_of: date) -> DataFrame:
 def active_generic_groups(domain: Domain) -> DataFrame:
     """Groups that hold a generic article which is still sold."""
     active = domain.article.filter((F.col("type") == TYPE_GENERIC) & F.col("stopped_on").isNull())
-    return domain.article_group.join(active, "article_id", "left_semi").select("group_id").distinct()
+    return domain.article_group.join(active, "article_id", "left_semi").select("group_id")
 
 
 def labelled_groups(domain: Domain) -> DataFrame:
@@ -42,18 +42,14 @@ def labelled_groups(domain: Domain) -> DataFrame:
 
 
 def switch_items(domain: Domain, focus_lab, as_of: date) -> DataFrame:
-    """Catalogue of switches: competitor offers, running or not, on focus links.
-
-    Several offers may give an article the same keys; they are merged into a row that still counts each.
-    """
+    """Catalogue of switches: competitor offers, running or not, on focus links. Each offer counts."""
     competitor = domain.offer.filter(F.col("lab") != focus_lab)
     return (
         competitor.join(focus_links(domain, focus_lab, as_of), "link_id", "left_semi")
         .join(labelled_groups(domain), "link_id")
         .join(active_generic_groups(domain), "group_id", "left_semi")
         .join(domain.lab, "lab", "left")
-        .groupBy("article_id", "link_id", "label", "lab_name", "rebate")
-        .agg(F.count("*").alias("offers"), F.sum(to_cents(F.col("price"))).alias("cents"))
+        .select("article_id", "link_id", "label", "lab_name", "rebate", to_cents(F.col("price")).alias("cents"))
     )
 
 
@@ -66,8 +62,7 @@ def originator_items(domain: Domain, focus_lab, as_of: date) -> DataFrame:
         .join(focus_links(domain, focus_lab, as_of), "link_id", "left_semi")
         .join(labelled_groups(domain), "link_id")
         .join(makers.select("article_id", "lab_name"), "article_id")
-        .groupBy("article_id", "link_id", "label", "lab_name")
-        .agg(F.count("*").alias("offers"), F.sum(to_cents(F.col("group_price"))).alias("cents"))
+        .select("article_id", "link_id", "label", "lab_name", to_cents(F.col("group_price")).alias("cents"))
     )
 
 
@@ -77,7 +72,7 @@ def sold_by(sales: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
         sell(sales, items)
         .groupBy("outlet_id", *keys)
         .agg(
-            F.sum(F.col("qty") * F.col("offers")).alias("qty"),
+            F.sum("qty").alias("qty"),
             from_cents(F.sum(F.col("qty") * F.col("cents"))).alias("value"),
         )
     )
@@ -105,18 +100,13 @@ def top_originator(
     return top_per_outlet(sold, k, F.col("value").desc_nulls_last(), *ties)
 
 
-def article_cents(items: DataFrame, name: str) -> DataFrame:
-    """What one sold unit of an article adds to a total, over all its catalogue rows."""
-    return items.groupBy("article_id").agg(F.sum("cents").alias(name))
-
-
 def per_outlet_or_zero(domain: Domain, totals: DataFrame, *names: str) -> DataFrame:
     filled = domain.outlet.select("outlet_id").join(totals, "outlet_id", "left")
     return filled.select("outlet_id", *[F.coalesce(c, F.lit(0)).cast("decimal(20,2)").alias(c) for c in names])
 
 
 def item_total(domain: Domain, items: DataFrame, start: int, end: int | None) -> DataFrame:
-    sold = sell(in_period(domain.sales, start, end), article_cents(items, "cents"))
+    sold = sell(in_period(domain.sales, start, end), items.select("article_id", "cents"))
     totals = sold.groupBy("outlet_id").agg(from_cents(F.sum(F.col("qty") * F.col("cents"))).alias("value"))
     return per_outlet_or_zero(domain, totals, "value")
 
@@ -133,9 +123,12 @@ def originator_total(domain: Domain, focus_lab, as_of: date, start: int, end: in
 
 def margin_total(domain: Domain, focus_lab, as_of: date, start: int, end: int | None = None) -> DataFrame:
     """Both totals and their sum, from one pass over the sales."""
-    switch = article_cents(switch_items(domain, focus_lab, as_of), "switch_cents")
-    originator = article_cents(originator_items(domain, focus_lab, as_of), "originator_cents")
-    items = switch.join(originator, "article_id", "full")
+    def side(items: DataFrame, name: str) -> DataFrame:
+        return items.select("article_id", F.col("cents").alias(name))
+
+    switch = side(switch_items(domain, focus_lab, as_of), "switch_cents")
+    originator = side(originator_items(domain, focus_lab, as_of), "originator_cents")
+    items = switch.unionByName(originator, allowMissingColumns=True)
     totals = (
         sell(in_period(domain.sales, start, end), items)
         .groupBy("outlet_id")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletscope import constants as C
@@ -14,7 +14,7 @@ from outletscope.functions.numbers import integer_div
 from outletscope.functions.periods import month_label, since, trailing_months
 from outletscope.operators.joins import in_period
 from outletscope.operators.launches import launch_scorecard
-from outletscope.operators.molecules import molecule_scorecard, share_gap
+from outletscope.operators.molecules import gap_columns, molecule_scorecard
 from outletscope.operators.offers import margin_total, top_originator, top_switch
 from outletscope.operators.outlets import eligible_outlets, outlet_labels
 from outletscope.sources.domain import Domain
@@ -46,6 +46,23 @@ def nested(table: DataFrame, name: str, position: str) -> DataFrame:
     return table.groupBy("outlet_id").agg(rows.alias(name))
 
 
+def total_gaps(molecules: str, targets: Sequence[float], suffix: str = "") -> list[Column]:
+    """Gap columns out of the total row of a nested molecule table."""
+    total = F.filter(molecules, lambda row: row["is_total"])[0]
+    return gap_columns(total["share"], total["focus_value"], total["other_value"], targets, suffix)
+
+
+def stored_facts(domain: Domain, sales_start: int, collection_start: int, end: int) -> Domain:
+    """The domain over stored monthly facts; where both facts are one table it is stored once."""
+    if domain.collection.sameSemantics(domain.sales):
+        both = stored_monthly_sales(in_period(domain.sales, min(sales_start, collection_start), end))
+        return domain.replaced(sales=both, collection=both)
+    return domain.replaced(
+        sales=stored_monthly_sales(in_period(domain.sales, sales_start, end)),
+        collection=stored_monthly_sales(in_period(domain.collection, collection_start, end)),
+    )
+
+
 def report_dataset(domain: Domain, params: ReportParams, wanted: DataFrame | None = None) -> DataFrame:
     """One row per eligible outlet and contact with all the report shows.
 
@@ -58,21 +75,11 @@ def report_dataset(domain: Domain, params: ReportParams, wanted: DataFrame | Non
     eligible = stored(
         eligible_outlets(domain, p.focus_lab, p.period, p.group_no, p.min_share, wanted=wanted), "eligible"
     )
-    first = min(trailing_start, since_start)
-    own = domain.for_outlets(eligible)
-    sales = stored_monthly_sales(in_period(own.sales, first, end))
-    same_fact = domain.collection is domain.sales
-    collection = sales if same_fact else stored_monthly_sales(in_period(own.collection, first, end))
-    own = replace(own, sales=sales, collection=collection)
-
-    def molecules(start: int) -> DataFrame:
-        # read twice, for the table and for its gaps
-        return stored(molecule_scorecard(own, p.focus_lab, start, end, p.rules, p.prefixes), "molecules")
-
-    month, period_to_date = molecules(p.period), molecules(since_start)
-    gaps = share_gap(month, p.targets)
-    gaps_since = share_gap(period_to_date, p.targets)
-    renamed = [F.col(c).alias(f"{c}_since") for c in gaps_since.columns if c != "outlet_id"]
+    own = stored_facts(domain.for_outlets(eligible), trailing_start, since_start, end)
+
+    def molecules(start: int, name: str) -> DataFrame:
+        card = molecule_scorecard(own, p.focus_lab, start, end, p.rules, p.prefixes)
+        return nested(card, name, "sort_order")
 
     tables = [
         outlet_labels(own),
@@ -80,17 +87,17 @@ def report_dataset(domain: Domain, params: ReportParams, wanted: DataFrame | Non
         nested(top_switch(own, p.focus_lab, p.as_of, p.period), "top_switch", "rank"),
         nested(top_originator(own, p.focus_lab, p.as_of, p.period), "top_originator", "rank"),
         nested(launch_scorecard(own, p.focus_lab, trailing_start, end), "launches", "rank"),
-        nested(month, "molecules", "sort_order"),
-        nested(period_to_date, "molecules_since", "sort_order"),
-        gaps,
-        gaps_since.select("outlet_id", *renamed),
+        molecules(p.period, "molecules"),
+        molecules(since_start, "molecules_since"),
     ]
     report = eligible.select(
         "outlet_id", "code", "mail", F.lit(p.period).alias("period"), month_label(F.lit(p.period)).alias("month")
     )
     for table in tables:
         report = report.join(table, "outlet_id", "left")
-    return report
+    return report.select(
+        "*", *total_gaps("molecules", p.targets), *total_gaps("molecules_since", p.targets, "_since")
+    )
 
 
 SECTIONS = {
@@ -105,8 +112,8 @@ SECTIONS = {
 def report_rows(report: DataFrame) -> DataFrame:
     """The tables of the report as rows: section, position, name, quantity, and amount (value or share)."""
 
-    def section(name: str):
-        def row(r):
+    def section(name: str) -> Column:
+        def row(r: Column) -> Column:
             position, label, qty, amount = (r[c] for c in SECTIONS[name])
             return F.struct(
                 F.lit(name).alias("section"),

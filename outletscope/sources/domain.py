@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +11,14 @@ from pyspark.sql.types import StringType, StructField
 
 from outletscope.sources.schemas import SCHEMAS, key_columns
 
+Reader = Callable[[str], DataFrame]
+
 FACTS = ("sales", "collection")
 
 
-@dataclass(frozen=True)
 class Domain:
+    """Tables by name, as attributes; a table is opened when an operator first asks for it."""
+
     sales: DataFrame
     collection: DataFrame
     article: DataFrame
@@ -36,17 +38,34 @@ class Domain:
     completeness: DataFrame
     outlet_group: DataFrame
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {field.name: getattr(self, field.name) for field in fields(self)}
+    def __init__(self, read: Reader, **tables: DataFrame):
+        self._read = read
+        self.__dict__.update(tables)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        table = self._read(name)
+        setattr(self, name, table)
+        return table
+
+    def replaced(self, **tables: DataFrame) -> Domain:
+        """The same domain with some tables exchanged."""
+        return Domain(self.table, **tables)
+
+    def table(self, name: str) -> DataFrame:
+        return getattr(self, name)
 
     def for_outlets(self, outlets: DataFrame) -> Domain:
         """The same domain for some outlets only: facts and the outlet list shrink, catalogues stay."""
         wanted = outlets.select("outlet_id")
-        kept = {
-            name: getattr(self, name).join(wanted, "outlet_id", "left_semi")
-            for name in (*FACTS, "outlet", "completeness")
-        }
-        return replace(self, **kept)
+        narrowed = (*FACTS, "outlet", "completeness")
+
+        def read(name: str) -> DataFrame:
+            table = self.table(name)
+            return table.join(wanted, "outlet_id", "left_semi") if name in narrowed else table
+
+        return Domain(read)
 
 
 def required(c: Column, table: str, name: str) -> Column:
@@ -72,18 +91,19 @@ def typed(df: DataFrame, table: str) -> DataFrame:
     return df.select(*[column(field) for field in SCHEMAS[table].fields])
 
 
-def load_domain(read: Callable[[str], DataFrame]) -> Domain:
-    """Build the domain from any reader of tables by name (see ``tables.py``)."""
-    return Domain(**{field.name: typed(read(field.name), field.name) for field in fields(Domain)})
+def load_domain(read: Reader) -> Domain:
+    """The domain over any reader of tables by name (see ``tables.py``)."""
+    return Domain(lambda name: typed(read(name), name))
 
 
 def null_keys(domain: Domain) -> DataFrame:
     """Rows and NULLs of each key column: one aggregate per table."""
 
-    def counted(table: str, df: DataFrame) -> DataFrame:
+    def counted(table: str) -> DataFrame:
         keys = key_columns(table)
-        counts = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(k).isNull()).alias(k) for k in keys])
+        nulls = [F.count_if(F.col(k).isNull()).alias(k) for k in keys]
+        counts = domain.table(table).agg(F.count("*").alias("rows"), *nulls)
         pairs = F.array(*[F.struct(F.lit(k).alias("key_column"), F.col(k).alias("nulls")) for k in keys])
         return counts.select(F.lit(table).alias("table_name"), "rows", F.inline(pairs))
 
-    return reduce(DataFrame.unionByName, [counted(name, df) for name, df in domain.tables().items()])
+    return reduce(DataFrame.unionByName, [counted(table) for table in SCHEMAS])

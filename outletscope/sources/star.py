@@ -33,49 +33,20 @@ RULES = (
 PREFIXES = ("rod", "ring", "bolt", "gear", "widget")
 
 
-def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
-
-
-def orders_between(spark: SparkSession, directory: str, start: int | None, end: int | None) -> DataFrame:
-    """Orders of whole months, cut on the order date itself so that the files are filtered."""
-    orders = table(spark, directory, "orders")
-    if start is not None:
-        orders = orders.filter(F.col("o_orderdate") >= F.lit(month_start(start)).cast("timestamp_ntz"))
-    if end is not None:
-        orders = orders.filter(F.col("o_orderdate") < F.lit(month_after(end)).cast("timestamp_ntz"))
-    return orders
-
-
-def outlet_orders(
-    spark: SparkSession, directory: str, start: int | None, end: int | None, outlet_by: str
-) -> DataFrame:
-    """o_orderkey, outlet_id, period. Orders find their outlet before the line items join them."""
-    orders = orders_between(spark, directory, start, end)
-    period = month_key(F.col("o_orderdate")).alias("period")
-    if outlet_by == "customer":
-        return orders.select("o_orderkey", F.col("o_custkey").alias("outlet_id"), period)
-    customer = table(spark, directory, "customer").select("c_custkey", "c_nationkey")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        "o_orderkey", F.col("c_nationkey").cast("bigint").alias("outlet_id"), period
-    )
+# the columns read, declared so that no file is opened for its schema
+COLUMNS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_quantity DOUBLE",
+}
 
 
-def outlets(spark: SparkSession, directory: str, outlet_by: str) -> DataFrame:
-    nation = table(spark, directory, "nation")
-    if outlet_by == "customer":
-        customer = table(spark, directory, "customer")
-        named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        key, name, town = F.col("c_custkey"), F.col("c_name"), F.col("n_name")
-    else:
-        named = nation.join(table(spark, directory, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        key, name, town = F.col("n_nationkey"), F.col("n_name"), F.col("r_name")
-    return named.select(
-        key.cast("bigint").alias("outlet_id"),
-        name.alias("name"),
-        padded(key).alias("postcode"),
-        town.alias("town"),
-    )
+def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return spark.read.schema(COLUMNS[name]).parquet(f"{directory}/{name}.parquet")
 
 
 def padded(key: Column) -> Column:
@@ -84,97 +55,163 @@ def padded(key: Column) -> Column:
     return F.lpad(digits, F.greatest(F.lit(5), F.char_length(digits)), F.lit("0"))
 
 
-def load_star(
-    spark: SparkSession,
-    directory: str,
-    start: int | None = None,
-    end: int | None = None,
-    outlet_by: str = "nation",
-) -> Domain:
-    """The domain over the star schema, its facts limited to the months ``start`` to ``end``."""
-    part = table(spark, directory, "part")
-    article_id = F.col("p_partkey")
-    word = [F.split_part(F.col("p_name"), F.lit(" "), F.lit(i)) for i in (1, 2)]
-    pack = (F.col("p_size") % 4).cast("string")
-    link_id = F.concat("p_name", F.lit("#"), pack)
-    price = F.col("p_retailprice").cast("decimal(12,2)")
-    ean = article_id + F.lit(3400000000000)
-    kind = F.element_at(F.array(*map(F.lit, "PGARB")), (article_id % 5 + 1).cast("int"))
-
-    outlet = outlets(spark, directory, outlet_by)
-    orders = outlet_orders(spark, directory, start, end, outlet_by)
-    lines = table(spark, directory, "lineitem").select(
-        "l_orderkey", F.col("l_partkey").alias("article_id"), F.col("l_quantity").cast("bigint").alias("qty")
-    )
-    sales = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "outlet_id", "article_id", "period", "qty"
-    )
-    order_count = orders.groupBy("outlet_id", "period").agg(F.count("*").alias("n"))
-
-    return Domain(
-        sales=sales,
-        collection=sales,
-        article=part.select(
-            article_id.alias("article_id"),
-            F.col("p_brand").alias("maker_lab"),
-            kind.alias("type"),
-            F.when(article_id % 3 == 0, F.lit(date(1998, 1, 1))).alias("stopped_on"),
-        ),
-        offer=part.select(
-            article_id.alias("article_id"),
+class Star:
+    """One method per domain table; facts are limited to the months ``start`` to ``end``."""
+
+    def __init__(
+        self, spark: SparkSession, directory: str, start: int | None, end: int | None, outlet_by: str
+    ):
+        self.spark, self.directory, self.start, self.end = spark, directory, start, end
+        self.by_customer = outlet_by == "customer"
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.directory, name)
+
+    # --- facts
+
+    def orders(self) -> DataFrame:
+        """o_orderkey, outlet_id, period.
+
+        Whole months are cut on the order date itself, so that the files are filtered, and orders find their
+        outlet before the line items join them.
+        """
+        orders, day = self.table("orders"), F.col("o_orderdate")
+        if self.start is not None:
+            orders = orders.filter(day >= F.lit(month_start(self.start)).cast("timestamp_ntz"))
+        if self.end is not None:
+            orders = orders.filter(day < F.lit(month_after(self.end)).cast("timestamp_ntz"))
+        outlet_id = F.col("o_custkey")
+        if not self.by_customer:
+            customer = self.table("customer").select("c_custkey", "c_nationkey")
+            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            outlet_id = F.col("c_nationkey").cast("bigint")
+        return orders.select("o_orderkey", outlet_id.alias("outlet_id"), month_key(day).alias("period"))
+
+    def sales(self) -> DataFrame:
+        lines = self.table("lineitem").select(
+            "l_orderkey", F.col("l_partkey").alias("article_id"), F.col("l_quantity").cast("bigint").alias("qty")
+        )
+        joined = lines.join(self.orders(), F.col("l_orderkey") == F.col("o_orderkey"))
+        return joined.select("outlet_id", "article_id", "period", "qty")
+
+    collection = sales
+
+    def completeness(self) -> DataFrame:
+        ok = F.when(F.count("*") >= COMPLETE_ORDERS, 1).otherwise(0)
+        return self.orders().groupBy("outlet_id", "period").agg(ok.alias("ok"))
+
+    # --- outlets
+
+    def outlet(self) -> DataFrame:
+        nation = self.table("nation")
+        if self.by_customer:
+            named = self.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            key, name, town = F.col("c_custkey"), F.col("c_name"), F.col("n_name")
+        else:
+            named = nation.join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            key, name, town = F.col("n_nationkey"), F.col("n_name"), F.col("r_name")
+        return named.select(
+            key.cast("bigint").alias("outlet_id"),
+            name.alias("name"),
+            padded(key).alias("postcode"),
+            town.alias("town"),
+        )
+
+    def crm(self) -> DataFrame:
+        return self.outlet().select("outlet_id", F.concat(F.lit("P"), "postcode").alias("code"))
+
+    def outlet_master(self) -> DataFrame:
+        return self.outlet().select("outlet_id", F.concat(F.lit("F"), "postcode").alias("finess"))
+
+    def member(self) -> DataFrame:
+        mail = F.concat(F.lit("outlet"), F.col("outlet_id").cast("string"), F.lit("@example.org"))
+        with_mail = self.outlet().filter(F.col("outlet_id") % 6 != 0)
+        return with_mail.select(F.concat(F.lit("F"), "postcode").alias("finess"), mail.alias("mail"))
+
+    def outlet_group(self) -> DataFrame:
+        group_no = F.when(F.col("outlet_id") % 4 == 1, 2).otherwise(1)
+        return self.outlet().select("outlet_id", group_no.alias("group_no"))
+
+    # --- catalogue
+
+    def parts(self) -> DataFrame:
+        """Parts with every derived column of the catalogue; each table reads the few it needs."""
+        key, name = F.col("p_partkey"), F.col("p_name")
+        pack = (F.col("p_size") % 4).cast("string")
+        return self.table("part").select(
+            key.alias("article_id"),
             F.col("p_brand").alias("lab"),
-            link_id.alias("link_id"),
-            (F.col("p_size").cast("decimal(5,2)") / 100).cast("decimal(5,2)").alias("rebate"),
-            F.date_add(F.lit(date(1998, 1, 1)), (article_id * 37 % 365).cast("int")).alias("valid_until"),
-            kind.alias("type"),
-            price.alias("price"),
-        ),
-        link_group=part.groupBy(
-            link_id.alias("link_id"),
-            link_id.alias("group_id"),
-            F.concat(word[1], F.lit(" "), word[0]).alias("short_label"),
+            F.element_at(F.array(*map(F.lit, "PGARB")), (key % 5 + 1).cast("int")).alias("type"),
+            F.concat(name, F.lit("#"), pack).alias("link_id"),
+            F.split_part(name, F.lit(" "), F.lit(1)).alias("word1"),
+            F.split_part(name, F.lit(" "), F.lit(2)).alias("word2"),
             pack.alias("pack"),
+            F.col("p_size").alias("size"),
+            F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
+            (key + F.lit(3400000000000)).alias("ean"),
         )
-        .agg(F.max(price).alias("group_price"))
-        .select(
+
+    def article(self) -> DataFrame:
+        stopped_on = F.when(F.col("article_id") % 3 == 0, F.lit(date(1998, 1, 1)))
+        return self.parts().select(
+            "article_id", F.col("lab").alias("maker_lab"), "type", stopped_on.alias("stopped_on")
+        )
+
+    def offer(self) -> DataFrame:
+        rebate = (F.col("size").cast("decimal(5,2)") / 100).cast("decimal(5,2)")
+        valid_until = F.date_add(F.lit(date(1998, 1, 1)), (F.col("article_id") * 37 % 365).cast("int"))
+        return self.parts().select(
+            "article_id", "lab", "link_id", rebate.alias("rebate"), valid_until.alias("valid_until"), "type", "price"
+        )
+
+    def link_group(self) -> DataFrame:
+        groups = self.parts().groupBy("link_id", "word1", "word2", "pack").agg(F.max("price").alias("group_price"))
+        return groups.select(
             "link_id",
-            "group_id",
-            "short_label",
+            F.col("link_id").alias("group_id"),
+            F.concat("word2", F.lit(" "), "word1").alias("short_label"),
             "pack",
             F.lit("").alias("volume"),
             F.lit(None).cast("string").alias("unit"),
             "group_price",
-        ),
-        article_group=part.select(article_id.alias("article_id"), link_id.alias("group_id")),
-        dci=part.select(
-            link_id.alias("group_id"),
-            word[1].alias("dci"),
-            word[0].alias("dose"),
-            F.lit(None).cast("string").alias("form"),
-        ).distinct(),
-        lab=part.select(F.col("p_brand").alias("lab"), F.col("p_brand").alias("lab_name")).distinct(),
-        ean=part.select(ean.alias("ean"), article_id.alias("article_id")),
-        excluded_ean=part.filter(article_id % 17 == 0).select(ean.alias("ean")),
-        launch_ean=part.filter(article_id % 10 < 3).select(ean.alias("ean")),
-        regulated_price=part.filter(article_id % 7 != 0).select(
-            article_id.alias("article_id"),
-            price.alias("price"),
-            F.when(article_id % 4 == 0, 0).otherwise(1).alias("active"),
-        ),
-        outlet=outlet,
-        crm=outlet.select("outlet_id", F.concat(F.lit("P"), "postcode").alias("code")),
-        outlet_master=outlet.select("outlet_id", F.concat(F.lit("F"), "postcode").alias("finess")),
-        member=outlet.filter(F.col("outlet_id") % 6 != 0).select(
-            F.concat(F.lit("F"), "postcode").alias("finess"),
-            F.concat(F.lit("outlet"), F.col("outlet_id").cast("string"), F.lit("@example.org")).alias("mail"),
-        ),
-        completeness=order_count.select(
-            "outlet_id", "period", F.when(F.col("n") >= COMPLETE_ORDERS, 1).otherwise(0).alias("ok")
-        ),
-        outlet_group=outlet.select(
-            "outlet_id", F.when(F.col("outlet_id") % 4 == 1, 2).otherwise(1).alias("group_no")
-        ),
-    )
+        )
+
+    def article_group(self) -> DataFrame:
+        return self.parts().select("article_id", F.col("link_id").alias("group_id"))
+
+    def dci(self) -> DataFrame:
+        form = F.lit(None).cast("string")
+        names = self.parts().select(F.col("link_id").alias("group_id"), F.col("word2").alias("dci"), "word1").distinct()
+        return names.select("group_id", "dci", F.col("word1").alias("dose"), form.alias("form"))
+
+    def lab(self) -> DataFrame:
+        return self.parts().select("lab").distinct().withColumn("lab_name", F.col("lab"))
+
+    def ean(self) -> DataFrame:
+        return self.parts().select("ean", "article_id")
+
+    def excluded_ean(self) -> DataFrame:
+        return self.parts().filter(F.col("article_id") % 17 == 0).select("ean")
+
+    def launch_ean(self) -> DataFrame:
+        return self.parts().filter(F.col("article_id") % 10 < 3).select("ean")
+
+    def regulated_price(self) -> DataFrame:
+        active = F.when(F.col("article_id") % 4 == 0, 0).otherwise(1)
+        priced = self.parts().filter(F.col("article_id") % 7 != 0)
+        return priced.select("article_id", "price", active.alias("active"))
+
+
+def load_star(
+    spark: SparkSession,
+    directory: str,
+    start: int | None = None,
+    end: int | None = None,
+    outlet_by: str = "nation",
+) -> Domain:
+    """The domain over the star schema; ``outlet_by`` is ``"nation"`` or ``"customer"``."""
+    star = Star(spark, directory, start, end, outlet_by)
+    return Domain(lambda name: getattr(star, name)())
 
 
 def areas(spark: SparkSession, directory: str) -> DataFrame:
