@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-MONEY = "DECIMAL(12,2)"
-
-_DDL = {
-    # monthly or line-level sales; several rows per outlet, article and period add up
-    "sales": "outlet_id BIGINT NOT NULL, article_id BIGINT NOT NULL, period INT NOT NULL, qty BIGINT",
-    "article": "article_id BIGINT NOT NULL, maker_lab STRING, type STRING, stopped_on DATE",
-    "offer": "article_id BIGINT NOT NULL, lab STRING, link_id STRING NOT NULL, rebate DECIMAL(5,2), "
-    f"valid_until DATE, type STRING, price {MONEY}",
-    "link_group": "link_id STRING NOT NULL, group_id STRING NOT NULL, short_label STRING, pack STRING, "
-    f"volume STRING, unit STRING, group_price {MONEY}",
-    "article_group": "article_id BIGINT NOT NULL, group_id STRING NOT NULL",
-    "dci": "group_id STRING NOT NULL, dci STRING NOT NULL, dose STRING, form STRING",
-    "lab": "lab STRING NOT NULL, lab_name STRING",
-    "ean": "ean BIGINT NOT NULL, article_id BIGINT NOT NULL",
-    "excluded_ean": "ean BIGINT NOT NULL",
-    "launch_ean": "ean BIGINT NOT NULL",
-    "regulated_price": f"article_id BIGINT NOT NULL, price {MONEY}, active INT",
-    "outlet": "outlet_id BIGINT NOT NULL, name STRING, postcode STRING, town STRING",
-    "crm": "outlet_id BIGINT NOT NULL, code STRING",
-    "outlet_master": "outlet_id BIGINT NOT NULL, finess STRING",
-    "member": "finess STRING NOT NULL, mail STRING",
-    "completeness": "outlet_id BIGINT NOT NULL, period INT NOT NULL, ok INT",
-    "outlet_group": "outlet_id BIGINT NOT NULL, group_no INT NOT NULL",
-}
+from pyspark.sql.types import DataType, DateType, DecimalType, IntegerType, LongType, StringType, StructType
+
+BIGINT, INT, STRING, DATE = LongType(), IntegerType(), StringType(), DateType()
+MONEY, RATE = DecimalType(12, 2), DecimalType(5, 2)
+
+
+def _schema(keys: dict[str, DataType], **columns: DataType) -> StructType:
+    schema = StructType()
+    for name, kind in keys.items():
+        schema.add(name, kind, nullable=False)
+    for name, kind in columns.items():
+        schema.add(name, kind)
+    return schema
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
-SCHEMAS["collection"] = SCHEMAS["sales"]  # the second sales fact, read by the molecule scorecard
+
+# monthly or line-level sales: several rows per outlet, article and month add up
+_SALES = _schema({"outlet_id": BIGINT, "article_id": BIGINT, "period": INT}, qty=BIGINT)
+
+SCHEMAS: dict[str, StructType] = {
+    "sales": _SALES,
+    "collection": _SALES,  # the second sales fact, read by the molecule scorecard
+    "article": _schema({"article_id": BIGINT}, maker_lab=STRING, type=STRING, stopped_on=DATE),
+    "offer": _schema(
+        {"article_id": BIGINT, "link_id": STRING}, lab=STRING, rebate=RATE, valid_until=DATE, type=STRING, price=MONEY
+    ),
+    "link_group": _schema(
+        {"link_id": STRING, "group_id": STRING},
+        short_label=STRING,
+        pack=STRING,
+        volume=STRING,
+        unit=STRING,
+        group_price=MONEY,
+    ),
+    "article_group": _schema({"article_id": BIGINT, "group_id": STRING}),
+    "dci": _schema({"group_id": STRING, "dci": STRING}, dose=STRING, form=STRING),
+    "lab": _schema({"lab": STRING}, lab_name=STRING),
+    "ean": _schema({"ean": BIGINT, "article_id": BIGINT}),
+    "excluded_ean": _schema({"ean": BIGINT}),
+    "launch_ean": _schema({"ean": BIGINT}),
+    "regulated_price": _schema({"article_id": BIGINT}, price=MONEY, active=INT),
+    "outlet": _schema({"outlet_id": BIGINT}, name=STRING, postcode=STRING, town=STRING),
+    "crm": _schema({"outlet_id": BIGINT}, code=STRING),
+    "outlet_master": _schema({"outlet_id": BIGINT}, finess=STRING),
+    "member": _schema({"finess": STRING}, mail=STRING),
+    "completeness": _schema({"outlet_id": BIGINT, "period": INT}, ok=INT),
+    "outlet_group": _schema({"outlet_id": BIGINT, "group_no": INT}),
+}
 
 
 def key_columns(table: str) -> list[str]:
