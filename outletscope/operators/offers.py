@@ -18,14 +18,23 @@ def excluded_articles(domain: Domain) -> DataFrame:
     return domain.ean.join(domain.excluded_ean, "ean", "left_semi").select("article_id")
 
 
-def focus_links(domain: Domain, focus_lab, as_of: date) -> DataFrame:
-    """Links the focus lab has a running offer on, with its best rebate.
+def focus_offers(domain: Domain, focus_lab, as_of: date) -> DataFrame:
+    """Running offers of the focus lab for articles that are not excluded.
 
     Exclusion keys are never NULL (checked at load), so the anti join equals NOT IN.
     """
     running = domain.offer.filter((F.col("lab") == focus_lab) & (F.col("valid_until") > F.lit(as_of)))
-    kept = running.join(excluded_articles(domain), "article_id", "left_anti")
-    return kept.groupBy("link_id").agg(F.max("rebate").alias("best_rebate"))
+    return running.join(excluded_articles(domain), "article_id", "left_anti")
+
+
+def focus_links(domain: Domain, focus_lab, as_of: date) -> DataFrame:
+    """Links the focus lab has a running offer on, with its best rebate."""
+    return focus_offers(domain, focus_lab, as_of).groupBy("link_id").agg(F.max("rebate").alias("best_rebate"))
+
+
+def on_focus_links(offers: DataFrame, domain: Domain, focus_lab, as_of: date) -> DataFrame:
+    """Offers on focus links. Membership needs no grouping: the rebate never tells rows apart."""
+    return offers.join(focus_offers(domain, focus_lab, as_of), "link_id", "left_semi")
 
 
 def active_generic_groups(domain: Domain) -> DataFrame:
@@ -45,7 +54,7 @@ def switch_items(domain: Domain, focus_lab, as_of: date) -> DataFrame:
     """Catalogue of switches: competitor offers, running or not, on focus links. Each offer counts."""
     competitor = domain.offer.filter(F.col("lab") != focus_lab)
     return (
-        competitor.join(focus_links(domain, focus_lab, as_of), "link_id", "left_semi")
+        on_focus_links(competitor, domain, focus_lab, as_of)
         .join(labelled_groups(domain), "link_id")
         .join(active_generic_groups(domain), "group_id", "left_semi")
         .join(domain.lab, "lab", "left")
@@ -58,8 +67,7 @@ def originator_items(domain: Domain, focus_lab, as_of: date) -> DataFrame:
     originator = domain.offer.filter(F.col("type") == TYPE_ORIGINATOR)
     makers = domain.article.join(domain.lab, F.col("maker_lab") == F.col("lab"))
     return (
-        originator.select("article_id", "link_id")
-        .join(focus_links(domain, focus_lab, as_of), "link_id", "left_semi")
+        on_focus_links(originator.select("article_id", "link_id"), domain, focus_lab, as_of)
         .join(labelled_groups(domain), "link_id")
         .join(makers.select("article_id", "lab_name"), "article_id")
         .select("article_id", "link_id", "label", "lab_name", to_cents(F.col("group_price")).alias("cents"))

@@ -74,8 +74,10 @@ completeness AS (
     SELECT outlet_id, period, CASE WHEN count(*) >= 8 THEN 1 ELSE 0 END AS ok
     FROM order_outlet GROUP BY outlet_id, period),
 outlet_group AS (SELECT outlet_id, CASE WHEN outlet_id % 4 = 1 THEN 2 ELSE 1 END AS group_no FROM outlet),
-collection AS (SELECT * FROM sales),
-focus_links AS (
+collection AS (SELECT * FROM sales)"""
+
+
+DERIVED = f"""focus_links AS (
     SELECT link_id, max(rebate) AS best_rebate FROM offer
     WHERE lab = {FOCUS} AND valid_until > {AS_OF}
         AND article_id NOT IN (SELECT article_id FROM ean WHERE ean IN (SELECT ean FROM excluded_ean))
@@ -256,7 +258,7 @@ LABEL = """CASE WHEN regexp_matches(trim(name, ' \t\r\n'), '(?i)pharmacie\\b') T
 
 
 def query(body: str, *ctes: str, outlet_by: str = "nation") -> str:
-    return ",\n".join([domain(outlet_by), *ctes]) + "\n" + body
+    return ",\n".join([domain(outlet_by), DERIVED, *ctes]) + "\n" + body
 
 
 # --- calendar -------------------------------------------------------------------
@@ -494,6 +496,13 @@ ORACLE: dict[str, str] = {
         FROM sales s JOIN article a ON a.article_id = s.article_id
         WHERE s.period BETWEEN {START} AND {END} GROUP BY ROLLUP (outlet_id, maker_lab)"""
     ),
+    "sql_with_parameters": query(
+        f"""SELECT s.outlet_id, l.lab_name, CAST(sum(s.qty) AS BIGINT) AS qty,
+        CAST(sum(s.qty * o.price) AS DOUBLE) AS value
+        FROM sales s JOIN offer o ON o.article_id = s.article_id LEFT JOIN lab l ON l.lab = o.lab
+        WHERE s.period BETWEEN {START} AND {END} AND o.lab <> {FOCUS} AND o.valid_until > {AS_OF}
+        GROUP BY s.outlet_id, l.lab_name"""
+    ),
     "display_switch": query(
         shown(
             "top_switch",

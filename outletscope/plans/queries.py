@@ -198,6 +198,22 @@ def total_row(spark, directory):
     return rolled.select("outlet_id", "maker_lab", F.col("level").cast("int").alias("level"), "qty")
 
 
+def sql_with_parameters(spark, directory):
+    """The domain in SQL: views, and values bound by name instead of spliced into the text."""
+    year(spark, directory).create_views("star_")
+    return spark.sql(
+        """
+        SELECT s.outlet_id, l.lab_name, sum(s.qty) AS qty, sum(s.qty * o.price) AS value
+        FROM star_sales s
+        JOIN star_offer o ON o.article_id = s.article_id
+        LEFT JOIN star_lab l ON l.lab = o.lab
+        WHERE s.period BETWEEN :start AND :end AND o.lab NOT IN (:focus_lab) AND o.valid_until > :as_of
+        GROUP BY s.outlet_id, l.lab_name
+        """,
+        args={"start": START, "end": END, "focus_lab": LAB, "as_of": AS_OF},
+    )
+
+
 # --- display --------------------------------------------------------------------
 
 
@@ -311,6 +327,7 @@ _QUERIES: dict[str, Query] = {
     "share_band": bands,
     "left_join_on_predicate": left_join_on_predicate,
     "total_row": total_row,
+    "sql_with_parameters": sql_with_parameters,
     "display_switch": display_switch,
     "display_originator": display_originator,
     "display_launch": display_launch,

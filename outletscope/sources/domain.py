@@ -56,6 +56,11 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def create_views(self, prefix: str = "") -> None:
+        """Register every table as a temporary view, for queries in SQL."""
+        for name in SCHEMAS:
+            self.table(name).createOrReplaceTempView(prefix + name)
+
     def for_outlets(self, outlets: DataFrame) -> Domain:
         """The same domain for some outlets only: facts and the outlet list shrink, catalogues stay."""
         wanted = outlets.select("outlet_id")

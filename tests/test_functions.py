@@ -61,6 +61,8 @@ def test_send_dates(spark):
     months = [202505, 202508, 202506, 202507]
     got = values(spark, months, "INT", lambda k: periods.send_date(k, holidays=HOLIDAYS_2025))
     assert got == [date(2025, 5, 19), date(2025, 8, 18), date(2025, 6, 17), date(2025, 7, 17)]
+    assert [periods.send_date_of(m, holidays=HOLIDAYS_2025) for m in months] == got
+    assert periods.send_date_of(202511, day=11, holidays=HOLIDAYS_2025) == date(2025, 11, 12)
 
 
 def test_roll_forward_over_holidays_and_month_end(spark):
