@@ -66,14 +66,16 @@ def molecule_scorecard(
     end: int | None = None,
     rules: Rules = MOLECULE_RULES,
     prefixes: Sequence[str] = GROUP_PREFIXES,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """One row per outlet and molecule, sold or not, and a total row per outlet.
 
-    One aggregation per outlet holds a sum for each rule and side, and rows are laid out from it: detail and
+    ``items`` is the catalogue of scored articles, if already at hand. One aggregation per outlet holds a sum for each rule and side, and rows are laid out from it: detail and
     total share the pass, and no spine is joined.
     """
     rules = sorted(rules)
-    sold = sell(in_period(domain.collection, start, end), molecule_items(domain, focus_lab, rules, prefixes))
+    items = molecule_items(domain, focus_lab, rules, prefixes) if items is None else items
+    sold = sell(in_period(domain.collection, start, end), items)
     sides = {"focus": "is_focus", "other": "NOT is_focus"}
     measures = {"qty": "qty", "cents": "qty * price_cents"}
     sums = [

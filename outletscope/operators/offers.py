@@ -87,10 +87,16 @@ def sold_by(sales: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
 
 
 def top_switch(
-    domain: Domain, focus_lab, as_of: date, start: int, end: int | None = None, k: int = 10
+    domain: Domain,
+    focus_lab,
+    as_of: date,
+    start: int,
+    end: int | None = None,
+    k: int = 10,
+    items: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``k`` largest switches of each outlet by value."""
-    items = switch_items(domain, focus_lab, as_of)
+    """The ``k`` largest switches of each outlet by value. ``items``: their catalogue, if already at hand."""
+    items = switch_items(domain, focus_lab, as_of) if items is None else items
     keys = ("link_id", "label", "lab_name", "rebate")
     sold = sold_by(in_period(domain.sales, start, end), items, *keys)
     ties = [F.col(c).asc_nulls_last() for c in ("label", "lab_name", "rebate", "link_id")]
@@ -98,10 +104,16 @@ def top_switch(
 
 
 def top_originator(
-    domain: Domain, focus_lab, as_of: date, start: int, end: int | None = None, k: int = 5
+    domain: Domain,
+    focus_lab,
+    as_of: date,
+    start: int,
+    end: int | None = None,
+    k: int = 5,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` largest originator sales of each outlet by value."""
-    items = originator_items(domain, focus_lab, as_of)
+    items = originator_items(domain, focus_lab, as_of) if items is None else items
     keys = ("link_id", "label", "lab_name")
     sold = sold_by(in_period(domain.sales, start, end), items, *keys)
     ties = [F.col(c).asc_nulls_last() for c in ("label", "lab_name", "link_id")]
@@ -129,14 +141,24 @@ def originator_total(domain: Domain, focus_lab, as_of: date, start: int, end: in
     return item_total(domain, originator_items(domain, focus_lab, as_of), start, end)
 
 
-def margin_total(domain: Domain, focus_lab, as_of: date, start: int, end: int | None = None) -> DataFrame:
+def margin_total(
+    domain: Domain,
+    focus_lab,
+    as_of: date,
+    start: int,
+    end: int | None = None,
+    switch: DataFrame | None = None,
+    originator: DataFrame | None = None,
+) -> DataFrame:
     """Both totals and their sum, from one pass over the sales."""
+
     def side(items: DataFrame, name: str) -> DataFrame:
         return items.select("article_id", F.col("cents").alias(name))
 
-    switch = side(switch_items(domain, focus_lab, as_of), "switch_cents")
-    originator = side(originator_items(domain, focus_lab, as_of), "originator_cents")
-    items = switch.unionByName(originator, allowMissingColumns=True)
+    switch = switch_items(domain, focus_lab, as_of) if switch is None else switch
+    originator = originator_items(domain, focus_lab, as_of) if originator is None else originator
+    sides = side(switch, "switch_cents"), side(originator, "originator_cents")
+    items = sides[0].unionByName(sides[1], allowMissingColumns=True)
     totals = (
         sell(in_period(domain.sales, start, end), items)
         .groupBy("outlet_id")

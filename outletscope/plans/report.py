@@ -14,8 +14,14 @@ from outletscope.functions.numbers import integer_div
 from outletscope.functions.periods import month_label, since, trailing_months
 from outletscope.operators.joins import in_period
 from outletscope.operators.launches import launch_scorecard
-from outletscope.operators.molecules import gap_columns, molecule_scorecard
-from outletscope.operators.offers import margin_total, top_originator, top_switch
+from outletscope.operators.molecules import gap_columns, molecule_items, molecule_scorecard
+from outletscope.operators.offers import (
+    margin_total,
+    originator_items,
+    switch_items,
+    top_originator,
+    top_switch,
+)
 from outletscope.operators.outlets import eligible_outlets, outlet_labels
 from outletscope.sources.domain import Domain
 from outletscope.sources.tables import stored, stored_monthly_sales
@@ -66,8 +72,8 @@ def stored_facts(domain: Domain, sales_start: int, collection_start: int, end: i
 def report_dataset(domain: Domain, params: ReportParams, wanted: DataFrame | None = None) -> DataFrame:
     """One row per eligible outlet and contact with all the report shows.
 
-    The eligible outlets and their monthly sales are stored once; every table of the report reads those. The
-    number of jobs does not depend on the number of outlets.
+    The eligible outlets, their monthly sales and the catalogues are stored once; every table of the report
+    reads those. The number of jobs does not depend on the number of outlets.
     """
     p = params
     trailing_start, end = trailing_months(p.period, p.months)
@@ -77,15 +83,20 @@ def report_dataset(domain: Domain, params: ReportParams, wanted: DataFrame | Non
     )
     own = stored_facts(domain.for_outlets(eligible), trailing_start, since_start, end)
 
+    switch = stored(switch_items(domain, p.focus_lab, p.as_of), "switch-items")
+    originator = stored(originator_items(domain, p.focus_lab, p.as_of), "originator-items")
+    scored = stored(molecule_items(domain, p.focus_lab, p.rules, p.prefixes), "molecule-items")
+
     def molecules(start: int, name: str) -> DataFrame:
-        card = molecule_scorecard(own, p.focus_lab, start, end, p.rules, p.prefixes)
+        card = molecule_scorecard(own, p.focus_lab, start, end, p.rules, p.prefixes, items=scored)
         return nested(card, name, "sort_order")
 
+    month = (own, p.focus_lab, p.as_of, p.period)
     tables = [
         outlet_labels(own),
-        margin_total(own, p.focus_lab, p.as_of, p.period),
-        nested(top_switch(own, p.focus_lab, p.as_of, p.period), "top_switch", "rank"),
-        nested(top_originator(own, p.focus_lab, p.as_of, p.period), "top_originator", "rank"),
+        margin_total(*month, switch=switch, originator=originator),
+        nested(top_switch(*month, items=switch), "top_switch", "rank"),
+        nested(top_originator(*month, items=originator), "top_originator", "rank"),
         nested(launch_scorecard(own, p.focus_lab, trailing_start, end), "launches", "rank"),
         molecules(p.period, "molecules"),
         molecules(since_start, "molecules_since"),
