@@ -30,7 +30,7 @@ SEND_DAY = 17
 TRAILING_MONTHS = 6
 SINCE_PERIOD = 202503
 
-FOCUS_LAB = 401884
+FOCUS_LAB = "401884"  # lab keys are text in the domain
 REPORT_GROUP = 406
 MIN_SHARE = 0.4
 MIN_OUTLET_ID = 2

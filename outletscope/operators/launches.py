@@ -23,7 +23,7 @@ def launched_substances(domain: Domain) -> DataFrame:
     return domain.dci.join(groups, "group_id", "left_semi").select("dci").distinct()
 
 
-def launch_items(domain: Domain, focus_lab) -> DataFrame:
+def launch_items(domain: Domain, focus_lab: str) -> DataFrame:
     """Catalogue of launched articles: substance, and which measures a sold unit counts in.
 
     The focus count takes every type the lab makes while the total takes generics only, so a share may
@@ -45,7 +45,7 @@ def launch_items(domain: Domain, focus_lab) -> DataFrame:
     )
 
 
-def launch_sales(domain: Domain, focus_lab, start: int, end: int) -> DataFrame:
+def launch_sales(domain: Domain, focus_lab: str, start: int, end: int) -> DataFrame:
     """Quantities and share per outlet and substance, for the pairs that have sales."""
 
     def sold(flag: str) -> Column:
@@ -63,7 +63,7 @@ def launch_sales(domain: Domain, focus_lab, start: int, end: int) -> DataFrame:
     )
 
 
-def launch_scorecard(domain: Domain, focus_lab, start: int, end: int, k: int = 10) -> DataFrame:
+def launch_scorecard(domain: Domain, focus_lab: str, start: int, end: int, k: int = 10) -> DataFrame:
     """The ``k`` launched substances with the highest share in each outlet, unsold ones at 0.
 
     An outlet needs no more than ``k`` of the substances it did not sell, the first in name order, since

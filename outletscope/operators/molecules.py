@@ -44,7 +44,7 @@ def priced_articles(domain: Domain) -> DataFrame:
 
 
 def molecule_items(
-    domain: Domain, focus_lab, rules: Rules = MOLECULE_RULES, prefixes: Sequence[str] = GROUP_PREFIXES
+    domain: Domain, focus_lab: str, rules: Rules = MOLECULE_RULES, prefixes: Sequence[str] = GROUP_PREFIXES
 ) -> DataFrame:
     """Catalogue of scored articles: molecule, side and price. Each joined row counts, priced or not."""
     substances = classified_substances(domain, rules).filter(F.col("sort_order").isNotNull())
@@ -61,7 +61,7 @@ def molecule_items(
 
 def molecule_scorecard(
     domain: Domain,
-    focus_lab,
+    focus_lab: str,
     start: int,
     end: int | None = None,
     rules: Rules = MOLECULE_RULES,

@@ -18,7 +18,7 @@ def excluded_articles(domain: Domain) -> DataFrame:
     return domain.ean.join(domain.excluded_ean, "ean", "left_semi").select("article_id")
 
 
-def focus_offers(domain: Domain, focus_lab, as_of: date) -> DataFrame:
+def focus_offers(domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
     """Running offers of the focus lab for articles that are not excluded.
 
     Exclusion keys are never NULL (checked at load), so the anti join equals NOT IN.
@@ -27,12 +27,12 @@ def focus_offers(domain: Domain, focus_lab, as_of: date) -> DataFrame:
     return running.join(excluded_articles(domain), "article_id", "left_anti")
 
 
-def focus_links(domain: Domain, focus_lab, as_of: date) -> DataFrame:
+def focus_links(domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
     """Links the focus lab has a running offer on, with its best rebate."""
     return focus_offers(domain, focus_lab, as_of).groupBy("link_id").agg(F.max("rebate").alias("best_rebate"))
 
 
-def on_focus_links(offers: DataFrame, domain: Domain, focus_lab, as_of: date) -> DataFrame:
+def on_focus_links(offers: DataFrame, domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
     """Offers on focus links. Membership needs no grouping: the rebate never tells rows apart."""
     return offers.join(focus_offers(domain, focus_lab, as_of), "link_id", "left_semi")
 
@@ -50,7 +50,7 @@ def labelled_groups(domain: Domain) -> DataFrame:
     )
 
 
-def switch_items(domain: Domain, focus_lab, as_of: date) -> DataFrame:
+def switch_items(domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
     """Catalogue of switches: competitor offers, running or not, on focus links. Each offer counts."""
     competitor = domain.offer.filter(F.col("lab") != focus_lab)
     return (
@@ -62,7 +62,7 @@ def switch_items(domain: Domain, focus_lab, as_of: date) -> DataFrame:
     )
 
 
-def originator_items(domain: Domain, focus_lab, as_of: date) -> DataFrame:
+def originator_items(domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
     """Catalogue of originators: offers of that type on focus links, under the maker of the article."""
     originator = domain.offer.filter(F.col("type") == TYPE_ORIGINATOR)
     makers = domain.article.join(domain.lab, F.col("maker_lab") == F.col("lab"))
@@ -88,7 +88,7 @@ def sold_by(sales: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
 
 def top_switch(
     domain: Domain,
-    focus_lab,
+    focus_lab: str,
     as_of: date,
     start: int,
     end: int | None = None,
@@ -105,7 +105,7 @@ def top_switch(
 
 def top_originator(
     domain: Domain,
-    focus_lab,
+    focus_lab: str,
     as_of: date,
     start: int,
     end: int | None = None,
@@ -131,19 +131,19 @@ def item_total(domain: Domain, items: DataFrame, start: int, end: int | None) ->
     return per_outlet_or_zero(domain, totals, "value")
 
 
-def switch_total(domain: Domain, focus_lab, as_of: date, start: int, end: int | None = None) -> DataFrame:
+def switch_total(domain: Domain, focus_lab: str, as_of: date, start: int, end: int | None = None) -> DataFrame:
     """Value of all switches of each outlet, 0 without any."""
     return item_total(domain, switch_items(domain, focus_lab, as_of), start, end)
 
 
-def originator_total(domain: Domain, focus_lab, as_of: date, start: int, end: int | None = None) -> DataFrame:
+def originator_total(domain: Domain, focus_lab: str, as_of: date, start: int, end: int | None = None) -> DataFrame:
     """Value of all originator sales of each outlet, 0 without any."""
     return item_total(domain, originator_items(domain, focus_lab, as_of), start, end)
 
 
 def margin_total(
     domain: Domain,
-    focus_lab,
+    focus_lab: str,
     as_of: date,
     start: int,
     end: int | None = None,

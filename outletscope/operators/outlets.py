@@ -34,7 +34,7 @@ def complete_outlets(domain: Domain, period: int) -> DataFrame:
     return month.groupBy("outlet_id").agg(F.sum("ok").alias("n")).filter("n = 1").select("outlet_id")
 
 
-def offer_items(domain: Domain, focus_lab) -> DataFrame:
+def offer_items(domain: Domain, focus_lab: str) -> DataFrame:
     """Per article, the offer prices one sold unit counts with: all labs, and the focus lab alone."""
     is_focus = F.col("lab") == focus_lab
     cents = to_cents(F.col("price"))
@@ -45,7 +45,7 @@ def offer_items(domain: Domain, focus_lab) -> DataFrame:
     )
 
 
-def focus_potential(domain: Domain, focus_lab, period: int) -> DataFrame:
+def focus_potential(domain: Domain, focus_lab: str, period: int) -> DataFrame:
     """Focus value and potential of each outlet in the month, from one pass over its sales.
 
     Either is NULL where no priced offer was sold; ``sold_focus`` tells whether any focus offer was.
@@ -63,7 +63,7 @@ def focus_potential(domain: Domain, focus_lab, period: int) -> DataFrame:
 
 def eligible_outlets(
     domain: Domain,
-    focus_lab,
+    focus_lab: str,
     period: int,
     group_no: int,
     min_share: float = MIN_SHARE,

@@ -28,7 +28,7 @@ def domain(outlet_by: str = "nation") -> str:
             n_name AS town FROM customer JOIN nation ON c_nationkey = n_nationkey"""
     else:
         outlet_id = "c.c_nationkey"
-        outlet = f"""SELECT n_nationkey AS outlet_id, n_name AS name, {PADDED.format('n_nationkey')} AS postcode,
+        outlet = f"""SELECT CAST(n_nationkey AS BIGINT) AS outlet_id, n_name AS name, {PADDED.format('n_nationkey')} AS postcode,
             r_name AS town FROM nation JOIN region ON n_regionkey = r_regionkey"""
     customers = "" if outlet_by == "customer" else "JOIN customer c ON c.c_custkey = o.o_custkey"
     return f"""WITH

@@ -36,7 +36,7 @@ class ReportParams:
     as_of: date
     period: int
     since_period: int = C.SINCE_PERIOD
-    focus_lab: int | str = C.FOCUS_LAB
+    focus_lab: str = C.FOCUS_LAB
     group_no: int = C.REPORT_GROUP
     min_share: float = C.MIN_SHARE
     months: int = C.TRAILING_MONTHS

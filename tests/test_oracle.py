@@ -13,13 +13,18 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(name, spark, duck):
     directory = "/root/testdata/sf0.01"
     df = QUERIES[name](spark, directory)
     names = sorted(df.columns)
-    result = duck(directory).execute(ORACLE[name])
-    assert sorted(c[0] for c in result.description) == names
+    connection = duck(directory)
+    described = connection.execute("DESCRIBE " + ORACLE[name]).fetchall()
+    assert {c[0]: c[1] for c in described} == {n: SQL_TYPES[t] for n, t in df.dtypes}
+    result = connection.execute(ORACLE[name])
     order = [[c[0] for c in result.description].index(n) for n in names]
     expected = sorted((tuple(row[i] for i in order) for row in result.fetchall()), key=repr)
     got = sorted((tuple(row[n] for n in names) for row in df.collect()), key=repr)
