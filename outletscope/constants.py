@@ -47,6 +47,7 @@ OUTLET_WORD = "Pharmacie"
 NO_DATA_TEXT = "Aucune donnée disponible pour ce mois."
 STATUS_OK = "OK"
 STATUS_ERROR = "ERREUR"
+SUMMARY_TEXT = "Bilan de l'envoi des rapports du %s\n - Envoyés OK : %d\n - En erreurs : %d\n\nDétails des erreurs :\n"
 NO_ERROR_TEXT = "Aucune erreur rencontrée."
 LABEL_WIDTH, LAB_WIDTH, DEFAULT_WIDTH = 80, 25, 50
 

@@ -78,3 +78,9 @@ def display_gaps(gaps: DataFrame) -> DataFrame:
     """Money text of every gap; a target already met reads 0.00€."""
     texts = [money_text(F.col(c)).alias(f"{c}_text") for c in gaps.columns if c.startswith("gap_")]
     return gaps.select("outlet_id", *texts)
+
+
+def display_totals(totals: DataFrame) -> DataFrame:
+    """Money text of the leakage totals."""
+    names = ("switch_total", "originator_total", "margin")
+    return totals.select("outlet_id", *[money_text(F.col(c)).alias(f"{c}_text") for c in names])

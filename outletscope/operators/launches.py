@@ -19,7 +19,8 @@ def launch_articles(domain: Domain) -> DataFrame:
 
 def launched_substances(domain: Domain) -> DataFrame:
     """Names of the substances any launched article belongs to: the spine of the scorecard."""
-    groups = domain.article_group.join(launch_articles(domain), "article_id", "left_semi")
+    launched = domain.article_group.join(launch_articles(domain), "article_id", "left_semi")
+    groups = launched.select("group_id").distinct()
     return domain.dci.join(groups, "group_id", "left_semi").select("dci").distinct()
 
 

@@ -33,14 +33,15 @@ def classified_substances(domain: Domain, rules: Rules = MOLECULE_RULES) -> Data
 
 
 def prefixed_groups(domain: Domain, prefixes: Sequence[str] = GROUP_PREFIXES) -> DataFrame:
-    return domain.link_group.filter(starts_with_any(F.col("short_label"), prefixes)).select("group_id")
+    matching = domain.link_group.filter(starts_with_any(F.col("short_label"), prefixes))
+    return matching.select("group_id").distinct()
 
 
-def priced_articles(domain: Domain) -> DataFrame:
+def with_active_price(articles: DataFrame, domain: Domain) -> DataFrame:
     """Articles with the active regulated price. The flag belongs to the join: no price, no loss of the row."""
     active = domain.regulated_price.filter(F.col("active") == 1)
     cents = to_cents(F.col("price")).alias("price_cents")
-    return domain.article.join(active.select("article_id", cents), "article_id", "left")
+    return articles.join(active.select("article_id", cents), "article_id", "left")
 
 
 def molecule_items(
@@ -48,10 +49,10 @@ def molecule_items(
 ) -> DataFrame:
     """Catalogue of scored articles: molecule, side and price. Each joined row counts, priced or not."""
     substances = classified_substances(domain, rules).filter(F.col("sort_order").isNotNull())
+    makers = domain.lab.select(F.col("lab").alias("maker_lab"))
+    made = domain.article.filter(F.col("type").isin(*TYPES_BIOSIMILAR)).join(makers, "maker_lab")
     return (
-        priced_articles(domain)
-        .filter(F.col("type").isin(*TYPES_BIOSIMILAR))
-        .join(domain.lab.select(F.col("lab").alias("maker_lab")), "maker_lab")
+        with_active_price(made, domain)
         .join(domain.article_group, "article_id")
         .join(prefixed_groups(domain, prefixes), "group_id", "left_semi")
         .join(substances, "group_id")

@@ -33,14 +33,15 @@ def focus_links(domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
 
 
 def on_focus_links(offers: DataFrame, domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
-    """Offers on focus links. Membership needs no grouping: the rebate never tells rows apart."""
-    return offers.join(focus_offers(domain, focus_lab, as_of), "link_id", "left_semi")
+    """Offers on focus links. Many offers share a link, so links are made distinct before they are shuffled."""
+    links = focus_offers(domain, focus_lab, as_of).select("link_id").distinct()
+    return offers.join(links, "link_id", "left_semi")
 
 
 def active_generic_groups(domain: Domain) -> DataFrame:
     """Groups that hold a generic article which is still sold."""
     active = domain.article.filter((F.col("type") == TYPE_GENERIC) & F.col("stopped_on").isNull())
-    return domain.article_group.join(active, "article_id", "left_semi").select("group_id")
+    return domain.article_group.join(active, "article_id", "left_semi").select("group_id").distinct()
 
 
 def labelled_groups(domain: Domain) -> DataFrame:

@@ -545,12 +545,22 @@ ORACLE: dict[str, str] = {
         FROM ({gap_columns('card')})""",
         molecule_cte("card", START, END),
     ),
+    "display_totals": query(
+        f"""SELECT outlet_id, {money('switch_total')} AS switch_total_text,
+        {money('originator_total')} AS originator_total_text, {money('margin')} AS margin_text FROM ({MARGIN})""",
+        *totals(START, END),
+    ),
     "report_flat": query(REPORT_FLAT, *REPORT_CTES),
     "report_totals": query(REPORT_TOTALS, *REPORT_CTES[:1], *totals(MONTH, MONTH), *REPORT_CTES[-2:]),
     "run_status": query("SELECT * FROM status", REPORT_CTES[0], STATUS),
     "run_summary": query(
-        """SELECT period, count(*) FILTER (WHERE status = 'OK') AS n_ok,
-        count(*) FILTER (WHERE status LIKE '%ERREUR%') AS n_err FROM status GROUP BY period""",
+        """SELECT count(*) FILTER (WHERE status = 'OK') AS n_ok,
+        count(*) FILTER (WHERE status LIKE '%ERREUR%') AS n_err,
+        'Bilan de l''envoi des rapports du 1998-06-30' || chr(10)
+        || ' - Envoyés OK : ' || count(*) FILTER (WHERE status = 'OK') || chr(10)
+        || ' - En erreurs : ' || count(*) FILTER (WHERE status LIKE '%ERREUR%') || chr(10) || chr(10)
+        || 'Détails des erreurs :' || chr(10) AS text
+        FROM status""",
         REPORT_CTES[0],
         STATUS,
     ),

@@ -178,7 +178,7 @@ def bands(spark, directory):
 def left_join_on_predicate(spark, directory):
     """The price condition belongs to the join: unpriced sales count in quantity, not in value."""
     d = year(spark, directory)
-    priced = molecules.priced_articles(d).select("article_id", "price_cents")
+    priced = molecules.with_active_price(d.article, d).select("article_id", "price_cents")
     return (
         sell(in_period(d.sales, START, END), priced)
         .groupBy("outlet_id")
@@ -241,6 +241,10 @@ def display_gaps(spark, directory):
     return display.display_gaps(share_gap(spark, directory))
 
 
+def display_totals(spark, directory):
+    return display.display_totals(leakage_total(spark, directory, offers.margin_total))
+
+
 # --- report ---------------------------------------------------------------------
 
 REPORT = reports.ReportParams(
@@ -274,7 +278,7 @@ def run_status(spark, directory):
 
 
 def run_summary(spark, directory):
-    return reports.run_summary(run_status(spark, directory))
+    return reports.run_summary(run_status(spark, directory), AS_OF)
 
 
 def error_text(spark, directory):
@@ -333,6 +337,7 @@ _QUERIES: dict[str, Query] = {
     "display_launch": display_launch,
     "display_molecules": display_molecules,
     "display_gaps": display_gaps,
+    "display_totals": display_totals,
     "report_flat": report_flat,
     "report_totals": report_totals,
     "run_status": run_status,

@@ -150,11 +150,17 @@ def run_status(report: DataFrame) -> DataFrame:
     return report.select("outlet_id", "period", "mail", status.alias("status"))
 
 
-def run_summary(status: DataFrame) -> DataFrame:
-    return status.groupBy("period").agg(
+def run_summary(status: DataFrame, run_day: date) -> DataFrame:
+    """Counts of a run and the head of its summary text, also for a run without outlets.
+
+    The error lines follow from ``error_text``.
+    """
+    counts = status.agg(
         F.count_if(F.col("status") == C.STATUS_OK).alias("n_ok"),
         F.count_if(F.col("status").contains(C.STATUS_ERROR)).alias("n_err"),
     )
+    text = F.format_string(C.SUMMARY_TEXT, F.lit(run_day.isoformat()), "n_ok", "n_err")
+    return counts.withColumn("text", text)
 
 
 def error_text(status: DataFrame, block: int = BLOCK) -> DataFrame:

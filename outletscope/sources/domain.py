@@ -82,8 +82,10 @@ def typed(df: DataFrame, table: str) -> DataFrame:
     """Columns of the declared schema, cast, with right padding of strings removed.
 
     Keys of the catalogue are checked as they are read. Fact keys are left bare so that filters on them
-    reach the files; ``null_keys`` counts theirs.
+    reach the files; ``null_keys`` counts theirs. A fact with year and month columns gets its month key here.
     """
+    if "period" in SCHEMAS[table].names and "period" not in df.columns:
+        df = df.withColumn("period", F.col("year") * 100 + F.col("month"))
 
     def column(field: StructField) -> Column:
         c = F.col(field.name).cast(field.dataType)

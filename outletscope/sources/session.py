@@ -14,6 +14,7 @@ SETTINGS = {
     # filter a large fact by the catalogue and by the period's orders before it is shuffled
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    "spark.sql.optimizer.runtimeFilter.number.threshold": "30",
     # no call-site capture for every column built
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",

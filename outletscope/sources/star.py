@@ -135,20 +135,29 @@ class Star:
     # --- catalogue
 
     def parts(self) -> DataFrame:
-        """Parts with every derived column of the catalogue; each table reads the few it needs."""
-        key, name = F.col("p_partkey"), F.col("p_name")
-        pack = (F.col("p_size") % 4).cast("string")
+        """Parts with every derived column of the article tables; each table reads the few it needs."""
+        key = F.col("p_partkey")
         return self.table("part").select(
             key.alias("article_id"),
             F.col("p_brand").alias("lab"),
             F.element_at(F.array(*map(F.lit, "PGARB")), (key % 5 + 1).cast("int")).alias("type"),
+            F.concat("p_name", F.lit("#"), (F.col("p_size") % 4).cast("string")).alias("link_id"),
+            F.col("p_size").alias("size"),
+            F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
+            (key + F.lit(3400000000000)).alias("ean"),
+        )
+
+    def links(self) -> DataFrame:
+        """One row per link. Parts are grouped on raw columns, and texts derived from the few groups."""
+        pack_no, name = (F.col("p_size") % 4).alias("pack_no"), F.col("p_name")
+        groups = self.table("part").groupBy("p_name", pack_no).agg(F.max("p_retailprice").alias("price"))
+        pack = F.col("pack_no").cast("string")
+        return groups.select(
             F.concat(name, F.lit("#"), pack).alias("link_id"),
             F.split_part(name, F.lit(" "), F.lit(1)).alias("word1"),
             F.split_part(name, F.lit(" "), F.lit(2)).alias("word2"),
             pack.alias("pack"),
-            F.col("p_size").alias("size"),
-            F.col("p_retailprice").cast("decimal(12,2)").alias("price"),
-            (key + F.lit(3400000000000)).alias("ean"),
+            F.col("price").cast("decimal(12,2)").alias("group_price"),
         )
 
     def article(self) -> DataFrame:
@@ -165,8 +174,7 @@ class Star:
         )
 
     def link_group(self) -> DataFrame:
-        groups = self.parts().groupBy("link_id", "word1", "word2", "pack").agg(F.max("price").alias("group_price"))
-        return groups.select(
+        return self.links().select(
             "link_id",
             F.col("link_id").alias("group_id"),
             F.concat("word2", F.lit(" "), "word1").alias("short_label"),
@@ -180,9 +188,12 @@ class Star:
         return self.parts().select("article_id", F.col("link_id").alias("group_id"))
 
     def dci(self) -> DataFrame:
-        form = F.lit(None).cast("string")
-        names = self.parts().select(F.col("link_id").alias("group_id"), F.col("word2").alias("dci"), "word1").distinct()
-        return names.select("group_id", "dci", F.col("word1").alias("dose"), form.alias("form"))
+        return self.links().select(
+            F.col("link_id").alias("group_id"),
+            F.col("word2").alias("dci"),
+            F.col("word1").alias("dose"),
+            F.lit(None).cast("string").alias("form"),
+        )
 
     def lab(self) -> DataFrame:
         return self.parts().select("lab").distinct().withColumn("lab_name", F.col("lab"))

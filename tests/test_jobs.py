@@ -123,6 +123,23 @@ def test_no_cross_join_no_python(spark, capsys, name):
         assert operator not in plan
 
 
+def test_top_is_limited_before_its_shuffle(spark, capsys):
+    plan = plan_of(q.QUERIES["top_switch"](spark, DIR), capsys)
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_large_catalogue_is_not_broadcast_and_the_fact_is_summed_first(spark, capsys):
+    spark.conf.set(BROADCAST_ROWS_CONF, "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(q.QUERIES["top_switch"](spark, DIR), capsys)
+    finally:
+        spark.conf.unset(BROADCAST_ROWS_CONF)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in plan
+    assert "outlet_id" in plan and "Keys [2]: [outlet_id" in plan
+
+
 def test_period_reaches_the_files(spark, capsys):
     plan = plan_of(q.QUERIES["molecule_month"](spark, DIR), capsys)
     assert "GreaterThanOrEqual(o_orderdate,1998-06-01T00:00)" in plan
@@ -163,6 +180,12 @@ def test_domain_from_parquet_trims_and_casts(spark, tmp_path):
     assert rows(domain.outlet) == [(7, "Dupont", "1", None)]
 
 
+def test_month_key_out_of_year_and_month(spark):
+    lines = spark.createDataFrame([(7, 1, 2025, 5, 3)], "outlet_id INT, article_id INT, year INT, month INT, qty INT")
+    domain = load_domain(lambda name: lines)
+    assert rows(domain.sales, "outlet_id", "period", "qty") == [(7, 202505, 3)]
+
+
 def test_domain_from_catalog_names(spark):
     spark.createDataFrame([(1, "x ")], "lab INT, lab_name STRING").createOrReplaceTempView("labs_view")
     domain = load_domain(tables.catalog_reader(spark, {"lab": "labs_view"}))
@@ -228,7 +251,9 @@ def test_status_and_summary(spark):
     assert rows(status, "outlet_id", "status") == [
         (1, "OK"), (1003, "ERREUR: totals missing"), (2, "ERREUR: outlet not found"), (2500, "OK"), (3, "ERREUR: no mail address"),
     ]
-    assert rows(reports.run_summary(status)) == [(202505, 2, 3)]
+    text = "Bilan de l'envoi des rapports du 2025-06-17\n - Envoyés OK : 2\n - En erreurs : 3\n\nDétails des erreurs :\n"
+    assert rows(reports.run_summary(status, date(2025, 6, 17))) == [(2, 3, text)]
+    assert rows(reports.run_summary(status.filter("false"), date(2025, 6, 17)), "n_ok", "n_err") == [(0, 0)]
     assert rows(reports.error_text(status)) == [
         (202505, 0, 2, "ID=2 | Email=a@b | Statut=ERREUR: outlet not found\nID=3 | Email=NA | Statut=ERREUR: no mail address"),
         (202505, 1, 1, "ID=1003 | Email=c@d | Statut=ERREUR: totals missing"),
