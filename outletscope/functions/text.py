@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -79,7 +80,6 @@ def classify_molecule(name: Column, rules: Sequence[MoleculeRule]) -> Column:
 
 
 def starts_with_any(text: Column, prefixes: Sequence[str]) -> Column:
-    found = F.lit(False)
-    for prefix in prefixes:
-        found = found | F.lower(text).startswith(prefix.lower())
-    return found
+    """Whether ``text`` starts with one of the prefixes, in any case: one pattern, so the text is built once."""
+    alternatives = "|".join(re.escape(prefix) for prefix in prefixes)
+    return text.rlike(rf"(?iu)\A(?:{alternatives})")

@@ -162,3 +162,9 @@ def test_classify_molecule(spark):
     assert values(spark, names, "STRING", lambda n: text.classify_molecule(n, MOLECULE_RULES)) == [1, 2, None, 3, None, 6]
     reversed_rules = tuple(reversed(MOLECULE_RULES))
     assert values(spark, names, "STRING", lambda n: text.classify_molecule(n, reversed_rules)) == [1, 2, None, 3, None, 6]
+
+
+def test_starts_with_any(spark):
+    texts = ["Filgrastim 30", "PEGFILGRASTIM", "xfilgrastim", "Été 2 MG", "a+b c", "line\nfilgrastim", "", None]
+    found = values(spark, texts, "STRING", lambda t: text.starts_with_any(t, ("filgrastim", "pegfil", "ÉTÉ 2", "A+B")))
+    assert found == [True, True, False, True, True, False, False, None]
