@@ -1,0 +1,196 @@
+"""SimHash, line dedup, piecewise hashes and components against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from outletscope.llm import components, lines, piecewise, queries, simhash
+from outletscope.llm.lines import kept_text, packed, unpacked
+from tests.llm.conftest import LINE, LONG, ODD
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(marks, radius):
+    """Smallest id reachable, of (id, fingerprint) pairs."""
+    values = np.array([f for _, f in marks], dtype=np.uint64)
+    root = list(range(len(marks)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(marks)):
+        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius):
+            root[find(int(j) + i + 1)] = find(i)
+    least = {}
+    for i, (doc_id, _) in enumerate(marks):
+        least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return [least[find(i)] for i in range(len(marks))]
+
+
+@pytest.mark.parametrize("text", [t for _, t, _ in ODD if t != LONG] + ["One two", "É É é é a", "a b c d e f g A B C D\x0bE"])
+def test_fingerprint_is_the_plain_one(text):
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_simhash_query_against_all_pairs(spark, corpus):
+    rows = queries.op5_simhash(spark, "/root/testdata/sf0.01").collect()
+    texts = {r.doc_id: r.text for r in corpus(0.01).collect()}
+    marks = [(r.doc_id, int(r.fingerprint, 16)) for r in rows]
+    assert len(rows) == len(texts)
+    assert all(plain_fingerprint(texts[i]) == f for i, f in marks[::7])
+    assert [r.component_id for r in rows] == plain_components(marks, 4)
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_links_of_dense_groups(spark, monkeypatch, bucket):
+    """Groups around a centre, a chain, far values; large buckets are compared in blocks."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    draw = random.Random(5)
+    values = {0}
+    for _ in range(12):
+        centre = draw.getrandbits(64)
+        values |= {centre ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 3))) for _ in range(80)}
+    step = draw.getrandbits(64)
+    for b in range(0, 60, 4):
+        step ^= 0b1111 << b
+        values.add(step)
+    marks = [(i, v) for i, v in enumerate(sorted(values))]
+    nodes = spark.createDataFrame([(i, int(np.uint64(v).astype(np.int64))) for i, v in marks], "id long, fingerprint long")
+    links = simhash.links(nodes, 4).collect()
+    by_id = dict(marks)
+    assert all(1 <= (by_id[r.u] ^ by_id[r.v]).bit_count() <= 4 for r in links)
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert [found.get(i, i) for i, _ in marks] == plain_components(marks, 4)
+
+
+def test_counters_and_abandoning():
+    draw = np.random.default_rng(1)
+    left = draw.integers(0, 1 << 63, 90, dtype=np.uint64)
+    right = np.concatenate([left[:40] ^ np.uint64(0b10110), draw.integers(0, 1 << 63, 37, dtype=np.uint64)])
+    for radius in (0, 3, 4, 7):
+        alive, linked = simhash.within(left, right, radius, upper=False)
+        full = np.zeros((len(left), len(right)), dtype=bool)
+        full[alive] = linked
+        assert (full == (np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)).all()
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 400)] + [(5, 5), (400, 7)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert found == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(300, 401)]}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_odd_documents_in_simhash(spark, documents):
+    rows = simhash.near_duplicates(documents()).collect()
+    assert len(rows) == len(ODD)
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in rows}
+    assert found[1, 0] == found[2, 0] == found[3, 0] == 1
+    assert {r.component_id for r in rows if r.doc_id in (4, 5)} == {4}
+    assert {r.component_id for r in rows if r.doc_id is None} == {None}
+    assert simhash.near_duplicates(documents([])).count() == 0
+
+
+def plain_line_dedup(rows, min_chars=40, min_docs=5):
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for doc_id, text in rows:
+        for line in (text or "").split("\n"):
+            if doc_id is not None and len(key(line)) >= min_chars:
+                holders.setdefault(key(line), set()).add(doc_id)
+    out = []
+    for doc_id, text in rows:
+        all_lines = (text or "").split("\n")
+        gone = [doc_id is not None and len(h := holders.get(key(x), ())) >= min_docs and doc_id < max(h) for x in all_lines]
+        out.append((doc_id, "\n".join(x for x, g in zip(all_lines, gone) if not g), len(all_lines), sum(gone)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("hold", [100_000, 3])
+def test_line_dedup_against_brute_force(spark, documents, monkeypatch, hold):
+    """A line in most documents spreads over the partitions; runs too long to hold leave undecided."""
+    monkeypatch.setattr(lines, "HOLD", hold)
+    draw = random.Random(3)
+    some = [f"{i} {LINE}"[: draw.choice([38, 39, 40, 60])] for i in range(30)]
+    rows = list(ODD) + [
+        (i, "\n".join(draw.choice([LINE, " " + LINE + " ", *some, "short", ""]) for _ in range(draw.randint(1, 12))), "en") for i in range(20, 400)
+    ]
+    found = lines.deduplicated(documents(rows)).collect()
+    assert sorted(((r.row.doc_id, r.kept, r.n_lines, r.n_dropped) for r in found), key=repr) == plain_line_dedup([(i, t) for i, t, _ in rows])
+
+
+def test_line_dedup_keeps_the_largest_document(documents):
+    found = {r.row.doc_id: r for r in lines.deduplicated(documents()).collect() if r.row.text != "ten again, with another text"}
+    assert found[6].kept == "some words of the sixth"
+    assert found[8].n_dropped == 2 and found[8].kept == ""
+    assert found[10].n_dropped == 0 and found[None].n_dropped == 0
+    assert lines.deduplicated(documents([])).count() == 0
+
+
+def test_keep_bitmaps_round_trip():
+    keep = packed([0, 9, 17])
+    assert [i for i, k in enumerate(unpacked(keep, 30)) if not k] == [0, 9, 17]
+    assert kept_text("a\nb\nc", packed([1])) == ("a\nc", 3, 1)
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+    return row[-1]
+
+
+def test_edit_distances():
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abc", k=draw.randint(0, 12))) for _ in range(200)]
+    assert piecewise.distances(words[:100], words[100:]).tolist() == [plain_distance(a, b) for a, b in zip(words, words[100:])]
+
+
+def test_piecewise_query_against_brute_force(spark, corpus):
+    rows = {r.doc_id: r for r in queries.op7_piecewise(spark, "/root/testdata/sf0.01").collect()}
+    docs = sorted((r.doc_id, r.text or "") for r in corpus(0.01).collect())
+    assert len(rows) == len(docs)
+    for (doc_id, text), (_, following) in zip(docs, docs[1:] + docs[:1]):
+        n = len(text) // 4
+        changed = text[: len(text) - n] + following[:n]
+        row = rows[doc_id]
+        assert (row.n_chars, row.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert row.fingerprint == piecewise.fingerprint(text) and row.edited_fingerprint == piecewise.fingerprint(changed)
+        assert row.near_next == pytest.approx(piecewise.likeness([row.fingerprint], [piecewise.fingerprint(following)])[0])
+    assert np.mean([r.near_edited for r in rows.values()]) > 0.6 > 0.2 > np.mean([r.near_next for r in rows.values()])
+
+
+def test_piecewise_odd_documents(documents):
+    rows = piecewise.fingerprinted(documents()).collect()
+    assert len(rows) == len(ODD)
+    assert {r.fingerprint for r in rows if r.doc_id in (4, 5)} == {piecewise.fingerprint(LONG)}
+    assert [(r.fingerprint, r.near_next) for r in rows if r.doc_id == 1] == [("3::", 1.0)]
+    assert piecewise.fingerprinted(documents([])).count() == 0
+    alone = piecewise.fingerprinted(documents([(3, "alone in the table", None)])).collect()
+    assert len(alone) == 1 and alone[0].near_next == 1.0
+
+
+def test_rolling_hash_sees_its_window_only():
+    text = "".join(random.Random(1).choices("abcdef ", k=400))
+    hashes = piecewise.rolling(np.frombuffer(text.encode("utf-32-le"), "<u4"))
+    tail = piecewise.rolling(np.frombuffer(text[200:].encode("utf-32-le"), "<u4"))
+    assert (hashes[200 + piecewise.WINDOW :] == tail[piecewise.WINDOW :]).all()
+    assert len(piecewise.rolling(np.frombuffer("abc".encode("utf-32-le"), "<u4"))) == 3
