@@ -1,9 +1,10 @@
 """Context-triggered piecewise hashes: a rolling hash over the text sets chunk borders, each chunk gives a letter.
 
 A border falls behind a character where the hash of the last WINDOW code units leaves the largest remainder of the
-block size, so an edit moves only the borders around it. The block size doubles until the text gives at most LETTERS
-chunks, and a fingerprint holds the letters at that block size and at twice of it:
-"size:letters:letters of twice the size". Two fingerprints are compared where they have a block size in common, by the
+block size, so an edit moves only the borders around it. The block size follows from the length, and is halved while it
+gives few chunks and doubled while it gives more than LETTERS. Where the next size would give few, as in text that
+repeats itself, the last letter stands for all the rest. A fingerprint holds the letters at the block size and at
+twice of it: "size:letters:letters of twice the size". Two fingerprints are compared where they have a block size in common, by the
 edit distance of the letters; the likeness is 1 - distance / longer length, the better of two common sizes, and 0
 where there is none.
 
@@ -28,6 +29,7 @@ from outletscope.llm.common import partitions_of, slices
 WINDOW = 7
 SMALLEST = 3
 LETTERS = 64
+FEW = LETTERS // 4
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 MULTIPLIER = np.uint32(0x01000193)
 
@@ -59,13 +61,18 @@ def fingerprint(text: str) -> str:
             cuts.append(len(text))
         return "".join([ALPHABET[zlib.crc32(raw[4 * a : 4 * b]) & 63] for a, b in zip(cuts, cuts[1:])])
 
+    def hits(size: int) -> np.ndarray:
+        return np.flatnonzero(hashes % np.uint32(size) == size - 1)
+
+    borders = hits(size)
+    while len(borders) < FEW and size > SMALLEST:
+        size //= 2
+        borders = hits(size)
     while True:  # twice the size has no other borders: its remainder is the largest only where this one's is
-        borders = np.flatnonzero(hashes % np.uint32(size) == size - 1)
-        if len(borders) >= LETTERS and size < 1 << 30:
-            size *= 2
-            continue
         coarse = borders[hashes[borders] % np.uint32(2 * size) == 2 * size - 1]
-        return f"{size}:{letters(size, borders)}:{letters(2 * size, coarse)}"
+        if len(borders) < LETTERS or len(coarse) < FEW or size >= 1 << 30:
+            return f"{size}:{letters(size, borders[: LETTERS - 1])}:{letters(2 * size, coarse[: LETTERS - 1])}"
+        size, borders = 2 * size, coarse
 
 
 def distances(left: list[str], right: list[str]) -> np.ndarray:
