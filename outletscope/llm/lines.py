@@ -33,6 +33,8 @@ LINES = "high long, low long, doc_id long, text_id long, position int"
 RUNS = f"{LINES}, decided boolean, starts int"
 #: A run of more lines is not held in memory until it ends.
 HOLD = 100_000
+#: Parts that the lines of a run which crosses partitions are dealt into.
+SALTS = 64
 
 
 def keys(text: str | None) -> list[bytes]:
@@ -151,7 +153,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
         .select("high", "low", "last_doc")
     )
     place = ["doc_id", "text_id", "position"]
-    settled = undecided.join(frequent, ["high", "low"]).where("doc_id < last_doc").select(*place)
+    # the lines of a very frequent run are dealt out over salts, each of which gets its verdict
+    salted = undecided.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    verdicts = frequent.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+    settled = salted.join(verdicts, ["high", "low", "salt"]).where("doc_id < last_doc").select(*place)
     return runs.where("decided").select(*place).unionByName(settled)
 
 
