@@ -3,8 +3,8 @@
 A softmax classifier learned from a labelled table gives every document a posterior over domains. A document's rate r
 says how often it is read; the expected tokens of domain k are sum(r * tokens * posterior_k). Nonnegative rates whose
 domain totals match the targets are found by projected gradient steps on the squared distance of the totals. The
-gradient is scaled by M = sum(tokens * p p') over the documents not held at the floor, and steps that don't help are
-shortened. A step moves a document's rate by its posterior alone, so long documents aren't moved more than short ones.
+gradient is scaled by M = sum(tokens * p p') over the documents above the floor; a step that doesn't help is taken again
+with M over all documents, and then shortened. A step moves a document's rate by its posterior alone, so long documents aren't moved more than short ones.
 Each step is one aggregation over ids, token counts and posteriors; only the domain totals and M, domains x domains
 numbers, reach the driver.
 
@@ -136,20 +136,23 @@ def rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: i
     goal = np.array(targets, dtype=float)
     wanted = max(goal.sum(), 1e-12)
     out = best = members.withColumn("rate", F.lit(max(1.0, floor)))
-    least, damping = np.inf, 1.0
+    least, damping, use_free = np.inf, 1.0, True
     for step in range(steps + 1):
-        gaps, metric = _state(out, names, goal, floor)
-        if np.abs(gaps).max() <= tolerance * wanted:
+        state = _state(out, names, goal, floor)
+        off = float(np.linalg.norm(state[0]))
+        if np.abs(state[0]).max() <= tolerance * wanted:
             return out
-        if np.linalg.norm(gaps) < least:
-            if least - np.linalg.norm(gaps) <= 1e-7 * wanted:
-                return out
-            least, best, damping = np.linalg.norm(gaps), out, min(1.0, 2 * damping)
-            push = np.linalg.solve(metric + 1e-9 * max(np.trace(metric), 1e-12) * np.eye(len(names)), gaps)
+        if off < least - 1e-7 * wanted:
+            least, best, (gaps, full, free) = off, out, state
+            damping, use_free = min(1.0, 2 * damping), np.trace(free) > 0.05 * np.trace(full)
+        elif use_free:
+            use_free = False
         else:
             damping /= 4
             if damping < 1e-3:
                 break
+        metric = free if use_free else full
+        push = np.linalg.solve(metric + 1e-9 * max(np.trace(full), 1e-12) * np.eye(len(names)), gaps)
         move = F.col("rate") - dotted(names, (damping * push).tolist())
         out = best.withColumn("rate", F.greatest(F.lit(float(floor)), move))
         if step % 8 == 7:
@@ -157,13 +160,14 @@ def rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: i
     return best
 
 
-def _state(members: DataFrame, names: list[str], goal: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """How far the domain totals are off, and M over the documents whose rates are free to move."""
-    free = F.when(F.col("rate") > floor, F.col("tokens")).otherwise(F.col("tokens") * 1e-3)
+def _state(members: DataFrame, names: list[str], goal: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far the domain totals are off; M over all documents, and over those whose rates are above the floor."""
+    free = F.when(F.col("rate") > floor, F.col("tokens")).otherwise(0)
     totals = [F.sum(F.col("rate") * F.col("tokens") * F.col(n)) for n in names]
-    pairs = [F.sum(free * F.col(a) * F.col(b)) for a in names for b in names]
+    pairs = [F.sum(weight * F.col(a) * F.col(b)) for weight in (F.col("tokens"), free) for a in names for b in names]
     found = [x or 0.0 for x in members.agg(*(c.alias(f"s_{i}") for i, c in enumerate([*totals, *pairs]))).first()]
-    return np.array(found[: len(names)]) - goal, np.array(found[len(names) :]).reshape(len(names), -1)
+    k = len(names)
+    return np.array(found[:k]) - goal, *np.array(found[k:]).reshape(2, k, k)
 
 
 def copies(rate: Column, doc_id: Column) -> Column:

@@ -236,6 +236,10 @@ def test_rates_against_a_plain_solver(spark):
     goal = have.sum() * np.array([0.6, 0.3, 0.1])
     found = np.array([r.rate for r in mixing.rates(members, goal.tolist()).orderBy("doc_id").collect()])
     assert (found >= 0).all() and np.abs((found * tokens) @ posterior - goal).max() <= 1e-4 * goal.sum()
+    # more of two domains, with every rate at least 1, where all rates begin
+    goal = have * np.array([1.0, 1.25, 1.1])
+    found = np.array([r.rate for r in mixing.rates(members, goal.tolist(), floor=1.0).orderBy("doc_id").collect()])
+    assert found.min() >= 1 and found.max() > 1 and np.abs((found * tokens) @ posterior - goal).max() <= 0.01 * goal.sum()
     # out of reach: no rate below 1 may be used, so the least squares are the plain ones
     floored = mixing.rates(members, (0.5 * have).tolist(), floor=1.0)
     assert {r.rate for r in floored.collect()} == {1.0}
@@ -251,6 +255,16 @@ def test_mixture_of_a_corpus(spark):
         assert np.abs(totals / totals.sum() - np.array(list(queries.MIX.values()))).max() < (0.002 if read == "rate" else 0.01)
 
 
+def test_mixing_with_a_floor_repeats_the_scarcer_domain(spark, corpus):
+    """What the pipeline's stage does: the scarcer domain's documents more than once, none left out."""
+    docs, labels = corpus(0.01), corpus(0.01, "labels")
+    marks = labels.selectExpr("doc_id", "if(quality > 0, 'high', 'low') AS domain")
+    rows = mixing.mixed(docs, marks, {"low": 0.3, "high": 0.7}, floor=1.0).collect()
+    totals = np.array([sum(r.rate * r.tokens * r[p] for r in rows) for p in ("p_0", "p_1")])
+    assert min(r.copies for r in rows) >= 1 and sum(r.copies for r in rows) > len(rows)
+    assert abs(totals[0] / totals.sum() - 0.3) < 0.02
+
+
 def test_mixing_odd_documents(documents, labels, spark):
     marks = spark.createDataFrame([(6, "a"), (7, "b"), (None, "a"), (9, None), (99, "b"), (8, "c")], "doc_id long, domain string")
     found = mixing.mixed(documents(), marks, {"a": 1.0, "b": 3.0}).collect()
@@ -263,6 +277,16 @@ def test_mixing_odd_documents(documents, labels, spark):
         mixing.mixed(documents(), marks, {"a": 0.0})
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_query_matches_sql(spark, duck, name):
+    frame = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+    columns = sorted(frame.columns)
+    result = duck("/root/testdata/sf0.01").execute(queries.ORACLE[name])
+    order = [[c[0] for c in result.description].index(c) for c in columns]
+    expected = sorted(tuple(row[i] for i in order) for row in result.fetchall())
+    assert expected and sorted(tuple(row[c] for c in columns) for row in frame.collect()) == expected
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_of_odd_and_empty_tables(spark, folder, documents, name):
     if name == "op8_bit_sliced":
