@@ -78,3 +78,6 @@ GROUP_PREFIXES = (
 )
 
 TOTAL_NAME, TOTAL_SORT = "TOTAL", 999
+
+# a share of this size or more is an error of its outlet
+SHARE_LIMIT = 100_000_000

@@ -18,6 +18,7 @@ from outletscope.constants import (
     BAND_LOW_NAME,
     QUOTA_FIRST,
     QUOTA_STEP,
+    SHARE_LIMIT,
 )
 
 
@@ -39,9 +40,17 @@ def sum_or_zero(x: Column) -> Column:
 
 
 def share_percent(part: Column, whole: Column) -> Column:
-    """100 part / whole to two decimals, half away from zero; 0 where there is nothing to share."""
+    """100 part / whole to two decimals, half away from zero; 0 where there is nothing to share.
+
+    Wide enough for any two amounts; ``share_fits`` tells whether it is one to report.
+    """
     ratio = F.round(F.try_divide(part * 100, whole), 2)
-    return F.coalesce(ratio, F.lit(0)).cast("decimal(10,2)")
+    return F.coalesce(ratio, F.lit(0)).cast("decimal(28,2)")
+
+
+def share_fits(share: Column) -> Column:
+    """Whether a share has at most eight digits before the point."""
+    return F.abs(share) < F.lit(SHARE_LIMIT)
 
 
 def truncated_share(part: Column, whole: Column) -> Column:

@@ -93,24 +93,6 @@ def previous_month_of(as_of: date, overflow: bool = False) -> int:
     return year * 100 + month
 
 
-def previous_month_text(as_of: date, style: str = "text", overflow: bool = False) -> str:
-    """``"text"`` -> "Janvier 2025", ``"key"`` -> "202501"; any other style is an error."""
-    key = previous_month_of(as_of, overflow)
-    if style == "text":
-        return f"{MONTH_NAMES[key % 100 - 1]} {key // 100}"
-    if style == "key":
-        return str(key)
-    raise ValueError(f"unknown style {style!r}: use 'text' or 'key'")
-
-
-def send_date_of(key: int, day: int = SEND_DAY, holidays: Iterable[date] = ()) -> date:
-    """``send_date`` of one month, to decide whether a run is due."""
-    planned, closed = date(key // 100, key % 100, day), set(holidays)
-    while planned.weekday() >= 5 or planned in closed:
-        planned += timedelta(days=1)
-    return planned
-
-
 def trailing_months(end: int, n: int = TRAILING_MONTHS) -> tuple[int, int]:
     """First and last key of the ``n`` months that end with ``end``."""
     first = end // 100 * 12 + end % 100 - 1 - (n - 1)

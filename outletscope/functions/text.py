@@ -37,7 +37,7 @@ def outlet_label(name: Column, postcode: Column, town: Column, word: str = OUTLE
     def trimmed(c: Column) -> Column:
         return or_blank(F.btrim(c, F.lit(" \t\r\n")))
 
-    has_word = trimmed(name).rlike(rf"(?i){word}\b")
+    has_word = trimmed(name).rlike(rf"(?i){re.escape(word)}\b")
     full_name = F.when(has_word, trimmed(name)).otherwise(F.concat(F.lit(f"{word} "), trimmed(name)))
     return F.concat(full_name, F.lit(" - "), trimmed(postcode), F.lit("  "), trimmed(town))
 

@@ -6,30 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS_CONF = "spark.outletscope.maxBroadcastRows"
-BROADCAST_ROWS = 200_000
-
-
-def max_broadcast_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(BROADCAST_ROWS)))
-
-
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Count the rows, stopping at the limit, before anything is broadcast."""
-    limit = max_broadcast_rows(df) if max_rows is None else max_rows
-    return df.limit(limit + 1).count() <= limit
-
 
 def sell(sales: DataFrame, items: DataFrame) -> DataFrame:
-    """Sales joined with catalogue rows on the article.
+    """Sales of the catalogue's articles, summed to outlet and article, with the catalogue's rows.
 
-    A catalogue of checked size is broadcast, and the fact is not shuffled. A larger one is joined by
-    shuffle, after the fact has shrunk to one row per outlet and article: a best-seller then weighs as many
-    rows as there are outlets. Every measure is linear in the quantity, so both ways agree.
+    One plan at every size. The filter on articles reaches the fact below its own joins; what it leaves is summed
+    before it is joined, so a best-seller weighs as many rows as there are outlets. How the rows meet the catalogue
+    is left to the optimizer. Every measure is linear in the quantity, so summing first changes nothing.
     """
-    if fits_broadcast(items):
-        return sales.select("outlet_id", "article_id", "qty").join(F.broadcast(items), "article_id")
-    cells = sales.groupBy("outlet_id", "article_id").agg(F.sum("qty").alias("qty"))
+    wanted = items.select("article_id").distinct()
+    kept = sales.select("outlet_id", "article_id", "qty").join(wanted, "article_id", "left_semi")
+    cells = kept.groupBy("outlet_id", "article_id").agg(F.sum("qty").alias("qty"))
     return cells.join(items, "article_id")
 
 
@@ -41,3 +28,17 @@ def top_per_outlet(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each outlet; ``order`` must be total."""
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy("outlet_id").orderBy(*order)))
     return ranked.filter(F.col("rank") <= k)
+
+
+def global_rank(df: DataFrame, bucket: Column, *order: str) -> DataFrame:
+    """``df`` with its rank, from 1, in the order of the given columns; no task sorts everything.
+
+    ``bucket`` follows the order: rows of a lower bucket come first. Only the counts of the buckets meet in one place.
+    """
+    placed = df.withColumn("_bucket", bucket)
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_rows"))
+    earlier = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("_bucket", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
+    ranked = placed.withColumn("_inside", inside).join(before, "_bucket")
+    return ranked.withColumn("rank", F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from outletscope.constants import TYPE_ORIGINATOR, TYPES_GENERIC_TOTAL
 from outletscope.functions.numbers import sum_or_zero, truncated_share
-from outletscope.operators.joins import in_period, sell
+from outletscope.operators.joins import global_rank, in_period, sell, top_per_outlet
 from outletscope.sources.domain import Domain
 
 MEASURES = ("focus_qty", "competitor_qty", "originator_qty")
@@ -64,28 +65,37 @@ def launch_sales(domain: Domain, focus_lab: str, start: int, end: int) -> DataFr
     )
 
 
+def ranked_substances(domain: Domain) -> DataFrame:
+    """The spine with each name's place in name order; names are dealt out by their first letters."""
+    return global_rank(launched_substances(domain), F.substring("dci", 1, 2), "dci")
+
+
+def unsold_substances(domain: Domain, sold: DataFrame, k: int) -> DataFrame:
+    """outlet_id and name of the first ``k`` substances, in name order, that an outlet did not sell.
+
+    Of an outlet's sold names, the j-th stands at place r of the spine, with r - j unsold names before it. So the m-th
+    unsold name stands at place m plus the number of sold names with r - j < m: ``k`` counts per outlet.
+    """
+    spine = ranked_substances(domain)
+    order = W.partitionBy("outlet_id").orderBy("rank")
+    places = sold.select("outlet_id", "dci").join(spine, "dci")
+    gaps = places.select("outlet_id", (F.col("rank") - F.row_number().over(order)).alias("unsold_before"))
+    counts = [F.count_if(F.col("unsold_before") < m).alias(f"m{m}") for m in range(1, k + 1)]
+    shifts = domain.outlet.select("outlet_id").join(gaps.groupBy("outlet_id").agg(*counts), "outlet_id", "left")
+    wanted = F.array(*[F.coalesce(f"m{m}", F.lit(0)) + m for m in range(1, k + 1)])
+    return shifts.select("outlet_id", F.explode(wanted).alias("rank")).join(spine, "rank").select("outlet_id", "dci")
+
+
 def launch_scorecard(domain: Domain, focus_lab: str, start: int, end: int, k: int = 10) -> DataFrame:
     """The ``k`` launched substances with the highest share in each outlet, unsold ones at 0.
 
-    An outlet needs no more than ``k`` of the substances it did not sell, the first in name order, since
-    all of them tie at 0. Its rows are collected in one array, no longer than the list of launches.
+    An outlet needs no more than ``k`` of the substances it did not sell, the first in name order, since all of them
+    tie at 0.
     """
-    row = F.struct((-F.col("share")).alias("minus_share"), "dci", "share", *MEASURES)
-    sold = launch_sales(domain, focus_lab, start, end).groupBy("outlet_id").agg(F.collect_list(row).alias("sold"))
-    spine = launched_substances(domain).agg(F.sort_array(F.collect_list("dci"))).scalar()
-
-    def unsold_row(name: Column) -> Column:
-        zero = F.lit(0).cast("decimal(20,2)")
-        counts = [F.lit(0).cast("bigint").alias(m) for m in MEASURES]
-        return F.struct(zero.alias("minus_share"), name.alias("dci"), zero.alias("share"), *counts)
-
-    unsold = F.array_except("spine", F.coalesce("sold.dci", F.array()))
-    fill = F.transform(F.slice(unsold, 1, k), unsold_row)
-    rows = F.sort_array(F.concat(F.coalesce("sold", F.array()), fill))
-    return (
-        domain.outlet.select("outlet_id")
-        .join(sold, "outlet_id", "left")
-        .withColumn("spine", spine)
-        .select("outlet_id", F.posexplode(F.slice(rows, 1, k)).alias("pos", "row"))
-        .select("outlet_id", (F.col("pos") + 1).alias("rank"), "row.dci", "row.share", *[f"row.{m}" for m in MEASURES])
+    sold = launch_sales(domain, focus_lab, start, end)
+    known = sold.join(domain.outlet.select("outlet_id"), "outlet_id", "left_semi")
+    unsold = unsold_substances(domain, sold, k).select(
+        "outlet_id", "dci", F.lit(0).cast("decimal(20,2)").alias("share"), *[F.lit(0).cast("bigint").alias(m) for m in MEASURES]
     )
+    ranked = top_per_outlet(known.unionByName(unsold), k, F.desc("share"), F.asc("dci"))
+    return ranked.select("outlet_id", "rank", "dci", "share", *MEASURES)

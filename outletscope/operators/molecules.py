@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,25 +73,26 @@ def molecule_scorecard(
 ) -> DataFrame:
     """One row per outlet and molecule, sold or not, and a total row per outlet.
 
-    ``items`` is the catalogue of scored articles, if already at hand. One aggregation per outlet holds a sum for each rule and side, and rows are laid out from it: detail and
-    total share the pass, and no spine is joined.
+    ``items`` is the catalogue of scored articles, if already at hand. One aggregation per outlet holds a sum for each
+    rule and side, and rows are laid out from it: detail and total share the pass, and no spine is joined. The rules'
+    sort orders must differ.
     """
     rules = sorted(rules)
     items = molecule_items(domain, focus_lab, rules, prefixes) if items is None else items
     sold = sell(in_period(domain.collection, start, end), items)
-    sides = {"focus": "is_focus", "other": "NOT is_focus"}
-    measures = {"qty": "qty", "cents": "qty * price_cents"}
+    if len({rule.sort_order for rule in rules}) < len(rules):
+        raise ValueError("two rules with the same sort order")
+    sides = {"focus": F.col("is_focus"), "other": ~F.col("is_focus")}
+    measures = {"qty": F.col("qty"), "cents": F.col("qty") * F.col("price_cents")}
     sums = [
-        F.expr(f"sum(CASE WHEN sort_order = {rule.sort_order} AND {on_side} THEN {amount} END)").alias(
-            f"{side}_{measure}_{rule.sort_order}"
-        )
+        F.sum(F.when((F.col("sort_order") == rule.sort_order) & on_side, amount)).alias(f"{side}_{measure}_{rule.sort_order}")
         for rule in rules
         for side, on_side in sides.items()
         for measure, amount in measures.items()
     ]
 
     def amount(name: str, orders: Sequence[int]) -> Column:
-        return F.expr(" + ".join(f"coalesce({name}_{order}, 0L)" for order in orders))
+        return reduce(add, [F.coalesce(f"{name}_{order}", F.lit(0).cast("bigint")) for order in orders])
 
     def card_row(display: str, orders: Sequence[int], sort_order: int, is_total: bool) -> Column:
         return F.struct(

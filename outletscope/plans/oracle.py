@@ -396,18 +396,23 @@ def molecules(start: int, end: int, outlet_by: str = "nation") -> str:
     return query(f"SELECT {MOLECULE_COLUMNS} FROM card", molecule_cte("card", start, end), outlet_by=outlet_by)
 
 
-def section(name: str, position: str, label: str, qty: str, amount: str, table: str) -> str:
+def section(name: str, position: str, label: str, qty: str, amount: str, table: str, more: tuple[str, ...]) -> str:
+    texts = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in more)
     return f"""SELECT t.outlet_id, {MONTH} AS period, '{name}' AS section, {position} AS position, {label} AS name,
-        {qty} AS qty, CAST({amount} AS DOUBLE) AS amount FROM {table} t JOIN eligible e ON e.outlet_id = t.outlet_id"""
+        {qty} AS qty, CAST({amount} AS DOUBLE) AS amount, {texts} AS more
+        FROM {table} t JOIN eligible e ON e.outlet_id = t.outlet_id"""
+
+
+CARD_MORE = ("other_qty", "CAST(t.focus_value AS DECIMAL(20,2))", "CAST(t.other_value AS DECIMAL(20,2))")
 
 
 REPORT_FLAT = " UNION ALL ".join(
     [
-        section("top_switch", "rank", "label", "qty", "value", "top_switch"),
-        section("top_originator", "rank", "label", "qty", "value", "top_originator"),
-        section("launches", "rank", "dci", "focus_qty", "t.share", "launches"),
-        section("molecules", "sort_order", "molecule", "focus_qty", "t.share", "card"),
-        section("molecules_since", "sort_order", "molecule", "focus_qty", "t.share", "card_since"),
+        section("top_switch", "rank", "label", "qty", "value", "top_switch", ("lab_name", "rebate")),
+        section("top_originator", "rank", "label", "qty", "value", "top_originator", ("lab_name",)),
+        section("launches", "rank", "dci", "focus_qty", "t.share", "launches", ("competitor_qty", "originator_qty")),
+        section("molecules", "sort_order", "molecule", "focus_qty", "t.share", "card", CARD_MORE),
+        section("molecules_since", "sort_order", "molecule", "focus_qty", "t.share", "card_since", CARD_MORE),
     ]
 )
 
@@ -434,17 +439,27 @@ ORACLE: dict[str, str] = {
     "business_days": f"""SELECT CAST(day AS VARCHAR) AS day, orders, {roll_forward('day')} AS business_day
         FROM ({DAYS})""",
     "key_checks": key_checks(),
+    "loaded_key_checks": key_checks(),
     "monthly_sales": query(
         "SELECT outlet_id, article_id, period, CAST(sum(qty) AS BIGINT) AS qty FROM sales GROUP BY 1, 2, 3"
     ),
     "outlet_labels": query(f"SELECT outlet_id, {LABEL} AS label FROM outlet"),
     "outlet_labels_customers": query(f"SELECT outlet_id, {LABEL} AS label FROM outlet", outlet_by="customer"),
+    "wanted_labels": query(
+        f"""SELECT w.outlet_id, l.label FROM (SELECT DISTINCT o_custkey % 40 AS outlet_id FROM orders) w
+        LEFT JOIN (SELECT outlet_id, {LABEL} AS label FROM outlet) l ON l.outlet_id = w.outlet_id"""
+    ),
+    "long_labels": query(
+        f"""SELECT p_partkey AS article_id, {capital('t', 80)} AS cut_80, {capital('t', 25)} AS cut_25
+        FROM (SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_name, p_brand, p_name, p_brand, p_name, p_brand, p_name, p_brand) AS t FROM part)"""
+    ),
     "contact_list": query(
         """SELECT c.outlet_id, c.code, b.mail FROM crm c LEFT JOIN outlet_master m ON m.outlet_id = c.outlet_id
         LEFT JOIN member b ON b.finess = m.finess""",
         outlet_by="customer",
     ),
     "eligible_outlets": query("SELECT * FROM eligible", eligible_cte(0.05)),
+    "wanted_outlets": query("SELECT * FROM eligible WHERE outlet_id % 2 = 0", eligible_cte(REPORT_MIN_SHARE)),
     "focus_potential": query(
         f"""SELECT s.outlet_id, CAST(sum(CASE WHEN o.lab = {FOCUS} THEN s.qty * o.price END) AS DOUBLE) AS focus_value,
         CAST(sum(s.qty * o.price) AS DOUBLE) AS value, bool_or(o.lab = {FOCUS}) AS sold_focus
@@ -493,8 +508,7 @@ ORACLE: dict[str, str] = {
     "total_row": query(
         f"""SELECT outlet_id, maker_lab, CAST(grouping(outlet_id, maker_lab) AS INTEGER) AS level,
         CAST(sum(qty) AS BIGINT) AS qty
-        FROM sales s JOIN article a ON a.article_id = s.article_id
-        WHERE s.period BETWEEN {START} AND {END} GROUP BY ROLLUP (outlet_id, maker_lab)"""
+        FROM sales s JOIN article a ON a.article_id = s.article_id GROUP BY ROLLUP (outlet_id, maker_lab)"""
     ),
     "sql_with_parameters": query(
         f"""SELECT s.outlet_id, l.lab_name, CAST(sum(s.qty) AS BIGINT) AS qty,
@@ -559,18 +573,18 @@ ORACLE: dict[str, str] = {
         'Bilan de l''envoi des rapports du 1998-06-30' || chr(10)
         || ' - Envoyés OK : ' || count(*) FILTER (WHERE status = 'OK') || chr(10)
         || ' - En erreurs : ' || count(*) FILTER (WHERE status LIKE '%ERREUR%') || chr(10) || chr(10)
-        || 'Détails des erreurs :' || chr(10) AS text
+        || 'Détails des erreurs :' || chr(10)
+        || CASE WHEN count(*) FILTER (WHERE status LIKE '%ERREUR%') = 0 THEN 'Aucune erreur rencontrée.' ELSE '' END AS text
         FROM status""",
         REPORT_CTES[0],
         STATUS,
     ),
     "error_text": query(
-        f"""SELECT period, outlet_id // 1000 AS block, count(*) FILTER (WHERE status LIKE '%ERREUR%') AS n_err,
-        coalesce(string_agg('ID=' || CAST(outlet_id AS VARCHAR) || ' | Email=' || coalesce(mail, 'NA') || ' | Statut='
-            || status, chr(10) ORDER BY outlet_id) FILTER (WHERE status LIKE '%ERREUR%'), '{NO_ERROR_TEXT}') AS text
-        FROM status GROUP BY period, outlet_id // 1000""",
-        REPORT_CTES[0],
-        STATUS,
+        f"""SELECT {MONTH} AS period, n.outlet_id, 'ID=' || n.outlet_id || ' | Email=' || coalesce(b.mail, 'NA')
+            || ' | Statut=ERREUR: ' || CASE WHEN o.outlet_id IS NULL THEN 'outlet not found' ELSE 'no mail address' END AS line
+        FROM (SELECT DISTINCT o_custkey % 40 AS outlet_id FROM orders) n LEFT JOIN outlet o ON o.outlet_id = n.outlet_id
+        LEFT JOIN outlet_master m ON m.outlet_id = n.outlet_id LEFT JOIN member b ON b.finess = m.finess
+        WHERE o.outlet_id IS NULL OR b.mail IS NULL"""
     ),
     "outlet_quota": f"WITH {AREA} SELECT area_id, population, outlets, allowed FROM quota",
     "quota_gap": f"WITH {AREA} SELECT * FROM gap",

@@ -12,13 +12,14 @@ from pyspark.sql.types import DateType, DecimalType
 from outletscope.constants import TRAILING_MONTHS
 from outletscope.functions.numbers import from_cents, share_band
 from outletscope.functions.periods import month_key, trailing_months
+from outletscope.functions.text import capitalise, cut_text
 from outletscope.operators import areas as area_ops
 from outletscope.operators import calendar, display, launches, molecules, offers, outlets
 from outletscope.operators.joins import in_period, sell
 from outletscope.plans import report as reports
 from outletscope.sources import star
-from outletscope.sources.domain import Domain, null_keys
-from outletscope.sources.tables import stored_monthly_sales
+from outletscope.sources.domain import Domain, load_domain, null_keys
+from outletscope.sources.tables import summed_by_month
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,8 +92,14 @@ def key_checks(spark, directory):
     return null_keys(star.load_star(spark, directory))
 
 
+def loaded_key_checks(spark, directory):
+    """The same checks on tables that went through the loader: typed, trimmed, catalogue keys checked."""
+    raw = star.load_star(spark, directory)
+    return null_keys(load_domain(raw.table))
+
+
 def monthly_sales(spark, directory):
-    return stored_monthly_sales(star.load_star(spark, directory).sales)
+    return summed_by_month(star.load_star(spark, directory).sales)
 
 
 # --- outlets --------------------------------------------------------------------
@@ -102,6 +109,23 @@ def outlet_labels(spark, directory, outlet_by="nation"):
     return outlets.outlet_labels(star.load_star(spark, directory, outlet_by=outlet_by))
 
 
+def outlet_numbers(spark, directory):
+    """Numbers out of the orders, beyond those of the outlets."""
+    return star.table(spark, directory, "orders").select((F.col("o_custkey") % 40).alias("outlet_id")).distinct()
+
+
+def wanted_labels(spark, directory):
+    """Labels of outlets asked for by number, also of those that do not exist."""
+    return outlets.outlet_labels(star.load_star(spark, directory), outlet_numbers(spark, directory))
+
+
+def long_labels(spark, directory):
+    """Texts beyond the display widths are cut."""
+    text = F.concat_ws(" ", *["p_name", "p_brand"] * 5)
+    cut = [cut_text(capitalise(text), width).alias(f"cut_{width}") for width in (80, 25)]
+    return star.table(spark, directory, "part").select(F.col("p_partkey").alias("article_id"), *cut)
+
+
 def contact_list(spark, directory):
     return outlets.contacts(star.load_star(spark, directory, outlet_by="customer"))
 
@@ -110,6 +134,13 @@ def eligible_outlets(spark, directory):
     return outlets.eligible_outlets(month(spark, directory), LAB, MONTH, star.REPORT_GROUP, star.MIN_SHARE)
 
 
+def wanted_outlets(spark, directory):
+    """Eligible outlets out of a given list."""
+    d = month(spark, directory)
+    even = d.outlet.filter(F.col("outlet_id") % 2 == 0).select("outlet_id")
+    return outlets.eligible_outlets(d, LAB, MONTH, star.REPORT_GROUP, REPORT_MIN_SHARE, wanted=even)
+
+
 def focus_potential(spark, directory):
     d = star.load_star(spark, directory, MONTH, MONTH, "customer")
     cents = ("focus_cents", "cents")
@@ -191,8 +222,8 @@ def left_join_on_predicate(spark, directory):
 
 
 def total_row(spark, directory):
-    """Rollup: quantity per outlet and maker, per outlet, and overall."""
-    d = year(spark, directory)
+    """Rollup over all years: quantity per outlet and maker, per outlet, and overall."""
+    d = star.load_star(spark, directory)
     sold = sell(d.sales, d.article.select("article_id", "maker_lab"))
     rolled = sold.rollup("outlet_id", "maker_lab").agg(F.grouping_id().alias("level"), F.sum("qty").alias("qty"))
     return rolled.select("outlet_id", "maker_lab", F.col("level").cast("int").alias("level"), "qty")
@@ -274,7 +305,7 @@ def report_totals(spark, directory):
 
 
 def run_status(spark, directory):
-    return reports.run_status(report_dataset(spark, directory))
+    return reports.run_status(reports.status_inputs(month(spark, directory), REPORT))
 
 
 def run_summary(spark, directory):
@@ -282,7 +313,10 @@ def run_summary(spark, directory):
 
 
 def error_text(spark, directory):
-    return reports.error_text(run_status(spark, directory))
+    """Error lines of a run over given outlet numbers, some of which do not exist or have no address."""
+    d = month(spark, directory)
+    asked = outlet_numbers(spark, directory).join(outlets.contacts(d).select("outlet_id", "mail"), "outlet_id", "left")
+    return reports.error_lines(reports.run_status(reports.status_inputs(d, REPORT, asked)))
 
 
 # --- areas ----------------------------------------------------------------------
@@ -304,11 +338,15 @@ _QUERIES: dict[str, Query] = {
     "send_dates": send_dates,
     "business_days": business_days,
     "key_checks": key_checks,
+    "loaded_key_checks": loaded_key_checks,
     "monthly_sales": monthly_sales,
     "outlet_labels": outlet_labels,
     "outlet_labels_customers": partial(outlet_labels, outlet_by="customer"),
+    "wanted_labels": wanted_labels,
+    "long_labels": long_labels,
     "contact_list": contact_list,
     "eligible_outlets": eligible_outlets,
+    "wanted_outlets": wanted_outlets,
     "focus_potential": focus_potential,
     "having_exactly_one": complete_months,
     "focus_links": focus_links,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletscope import constants as C
-from outletscope.functions.numbers import integer_div
+from outletscope.functions.numbers import share_fits
 from outletscope.functions.periods import month_label, since, trailing_months
 from outletscope.operators.joins import in_period
 from outletscope.operators.launches import launch_scorecard
@@ -24,9 +24,7 @@ from outletscope.operators.offers import (
 )
 from outletscope.operators.outlets import eligible_outlets, outlet_labels
 from outletscope.sources.domain import Domain
-from outletscope.sources.tables import stored, stored_monthly_sales
-
-BLOCK = 1000
+from outletscope.sources.tables import read_monthly_sales, stored, write_monthly_sales
 
 
 @dataclass(frozen=True)
@@ -58,34 +56,55 @@ def total_gaps(molecules: str, targets: Sequence[float], suffix: str = "") -> li
     return gap_columns(total["share"], total["focus_value"], total["other_value"], targets, suffix)
 
 
-def stored_facts(domain: Domain, sales_start: int, collection_start: int, end: int) -> Domain:
-    """The domain over stored monthly facts; where both facts are one table it is stored once."""
+def report_start(params: ReportParams) -> tuple[int, int, int]:
+    """First trailing month, first month of the longer window, last month."""
+    trailing_start, end = trailing_months(params.period, params.months)
+    return trailing_start, since(params.since_period, end)[0], end
+
+
+def stored_facts(domain: Domain, sales_start: int, collection_start: int, end: int, folder: str) -> Domain:
+    """The domain over monthly facts stored in the folder; where both facts are one table it is stored once."""
+
+    def fact(sales: DataFrame, start: int, name: str) -> DataFrame:
+        write_monthly_sales(in_period(sales, start, end), f"{folder}/{name}")
+        return read_monthly_sales(sales.sparkSession, f"{folder}/{name}")
+
     if domain.collection.sameSemantics(domain.sales):
-        both = stored_monthly_sales(in_period(domain.sales, min(sales_start, collection_start), end))
+        both = fact(domain.sales, min(sales_start, collection_start), "sales")
         return domain.replaced(sales=both, collection=both)
     return domain.replaced(
-        sales=stored_monthly_sales(in_period(domain.sales, sales_start, end)),
-        collection=stored_monthly_sales(in_period(domain.collection, collection_start, end)),
+        sales=fact(domain.sales, sales_start, "sales"),
+        collection=fact(domain.collection, collection_start, "collection"),
     )
 
 
-def report_dataset(domain: Domain, params: ReportParams, wanted: DataFrame | None = None) -> DataFrame:
+def reported_outlets(domain: Domain, params: ReportParams, wanted: DataFrame | None = None) -> DataFrame:
+    p = params
+    return eligible_outlets(domain, p.focus_lab, p.period, p.group_no, p.min_share, wanted=wanted)
+
+
+def report_dataset(
+    domain: Domain, params: ReportParams, wanted: DataFrame | None = None, folder: str | None = None
+) -> DataFrame:
     """One row per eligible outlet and contact with all the report shows.
 
-    The eligible outlets, their monthly sales and the catalogues are stored once; every table of the report
+    Nothing runs until the result is used. With a ``folder`` that all executors share, new and the caller's to remove,
+    the eligible outlets, their monthly sales and the catalogues are stored there first, and every table of the report
     reads those. The number of jobs does not depend on the number of outlets.
     """
     p = params
-    trailing_start, end = trailing_months(p.period, p.months)
-    since_start, _ = since(p.since_period, end)
-    eligible = stored(
-        eligible_outlets(domain, p.focus_lab, p.period, p.group_no, p.min_share, wanted=wanted), "eligible"
-    )
-    own = stored_facts(domain.for_outlets(eligible), trailing_start, since_start, end)
+    trailing_start, since_start, end = report_start(p)
 
-    switch = stored(switch_items(domain, p.focus_lab, p.as_of), "switch-items")
-    originator = stored(originator_items(domain, p.focus_lab, p.as_of), "originator-items")
-    scored = stored(molecule_items(domain, p.focus_lab, p.rules, p.prefixes), "molecule-items")
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return stored(df, f"{folder}/{name}") if folder else df
+
+    eligible = kept(reported_outlets(domain, p, wanted), "eligible")
+    own = domain.for_outlets(eligible)
+    if folder:
+        own = stored_facts(own, trailing_start, since_start, end, folder)
+    switch = kept(switch_items(domain, p.focus_lab, p.as_of), "switch-items")
+    originator = kept(originator_items(domain, p.focus_lab, p.as_of), "originator-items")
+    scored = kept(molecule_items(domain, p.focus_lab, p.rules, p.prefixes), "molecule-items")
 
     def molecules(start: int, name: str) -> DataFrame:
         card = molecule_scorecard(own, p.focus_lab, start, end, p.rules, p.prefixes, items=scored)
@@ -112,26 +131,30 @@ def report_dataset(domain: Domain, params: ReportParams, wanted: DataFrame | Non
 
 
 SECTIONS = {
-    "top_switch": ("rank", "label", "qty", "value"),
-    "top_originator": ("rank", "label", "qty", "value"),
-    "launches": ("rank", "dci", "focus_qty", "share"),
-    "molecules": ("sort_order", "molecule", "focus_qty", "share"),
-    "molecules_since": ("sort_order", "molecule", "focus_qty", "share"),
+    "top_switch": ("rank", "label", "qty", "value", ("lab_name", "rebate")),
+    "top_originator": ("rank", "label", "qty", "value", ("lab_name",)),
+    "launches": ("rank", "dci", "focus_qty", "share", ("competitor_qty", "originator_qty")),
+    "molecules": ("sort_order", "molecule", "focus_qty", "share", ("other_qty", "focus_value", "other_value")),
+    "molecules_since": ("sort_order", "molecule", "focus_qty", "share", ("other_qty", "focus_value", "other_value")),
 }
 
 
 def report_rows(report: DataFrame) -> DataFrame:
-    """The tables of the report as rows: section, position, name, quantity, and amount (value or share)."""
+    """The tables of the report as rows: section, position, name, quantity, amount (value or share), and the other
+    columns of the section as text (``more``)."""
 
     def section(name: str) -> Column:
         def row(r: Column) -> Column:
-            position, label, qty, amount = (r[c] for c in SECTIONS[name])
+            *main, more = SECTIONS[name]
+            position, label, qty, amount = (r[c] for c in main)
+            texts = [F.coalesce(r[c].cast("string"), F.lit("")) for c in more]
             return F.struct(
                 F.lit(name).alias("section"),
                 position.cast("int").alias("position"),
                 label.alias("name"),
                 qty.alias("qty"),
                 amount.cast("double").alias("amount"),
+                F.concat_ws("|", *texts).alias("more"),
             )
 
         return F.transform(F.coalesce(name, F.array()), row)
@@ -139,32 +162,55 @@ def report_rows(report: DataFrame) -> DataFrame:
     return report.select("outlet_id", "period", F.inline(F.concat(*[section(name) for name in SECTIONS])))
 
 
+def status_inputs(domain: Domain, params: ReportParams, contacts: DataFrame | None = None) -> DataFrame:
+    """What the status of a report follows from: contact, label, total and share of each outlet of the run.
+
+    ``contacts``: outlets and their mail, if not the eligible ones.
+    """
+    p = params
+    asked = reported_outlets(domain, p) if contacts is None else contacts
+    eligible = asked.select("outlet_id", "mail", F.lit(p.period).alias("period"))
+    own = domain.for_outlets(eligible)
+    card = molecule_scorecard(own, p.focus_lab, p.period, None, p.rules, p.prefixes)
+    tables = [
+        outlet_labels(own),
+        margin_total(own, p.focus_lab, p.as_of, p.period),
+        card.filter("is_total").select("outlet_id", F.col("share").alias("total_share")),
+    ]
+    for table in tables:
+        eligible = eligible.join(table, "outlet_id", "left")
+    return eligible
+
+
 def run_status(report: DataFrame) -> DataFrame:
-    """Whether each report can be sent: OK, or the first thing it lacks."""
+    """Whether each report can be sent: OK, or the first thing it lacks. An outlet's fault stays its own."""
     reason = (
         F.when(F.col("label").isNull(), "outlet not found")
         .when(F.col("mail").isNull(), "no mail address")
         .when(F.col("margin").isNull(), "totals missing")
+        .when(~share_fits(F.col("total_share")), "share out of range")
     )
     status = F.when(reason.isNull(), C.STATUS_OK).otherwise(F.concat(F.lit(f"{C.STATUS_ERROR}: "), reason))
     return report.select("outlet_id", "period", "mail", status.alias("status"))
 
 
+def is_error() -> Column:
+    return F.col("status").contains(C.STATUS_ERROR)
+
+
 def run_summary(status: DataFrame, run_day: date) -> DataFrame:
-    """Counts of a run and the head of its summary text, also for a run without outlets.
+    """Counts of a run and its summary text, also for a run without outlets; a run without errors says so.
 
-    The error lines follow from ``error_text``.
+    The lines of ``error_lines``, in order, complete the text of a run with errors.
     """
-    counts = status.agg(
-        F.count_if(F.col("status") == C.STATUS_OK).alias("n_ok"),
-        F.count_if(F.col("status").contains(C.STATUS_ERROR)).alias("n_err"),
-    )
-    text = F.format_string(C.SUMMARY_TEXT, F.lit(run_day.isoformat()), "n_ok", "n_err")
-    return counts.withColumn("text", text)
+    counts = status.agg(F.count_if(F.col("status") == C.STATUS_OK).alias("n_ok"), F.count_if(is_error()).alias("n_err"))
+    head = F.format_string(C.SUMMARY_TEXT, F.lit(run_day.isoformat()), "n_ok", "n_err")
+    none = F.when(F.col("n_err") == 0, C.NO_ERROR_TEXT).otherwise("")
+    return counts.withColumn("text", F.concat(head, none))
 
 
-def error_text(status: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The error lines of a run as text, one text per block of outlet ids so that none grows without bound."""
+def error_lines(status: DataFrame) -> DataFrame:
+    """The error lines of a run, one row each; their order is that of the outlets."""
     line = F.concat(
         F.lit("ID="),
         F.col("outlet_id").cast("string"),
@@ -173,13 +219,4 @@ def error_text(status: DataFrame, block: int = BLOCK) -> DataFrame:
         F.lit(" | Statut="),
         F.col("status"),
     )
-    lines = status.select(
-        "period",
-        "outlet_id",
-        integer_div(F.col("outlet_id"), F.lit(block)).alias("block"),
-        F.when(F.col("status").contains(C.STATUS_ERROR), line).alias("line"),
-    )
-    text = F.expr(r"listagg(line, '\n') WITHIN GROUP (ORDER BY outlet_id, line)")
-    return lines.groupBy("period", "block").agg(
-        F.count("line").alias("n_err"), F.coalesce(text, F.lit(C.NO_ERROR_TEXT)).alias("text")
-    )
+    return status.filter(is_error()).select("period", "outlet_id", line.alias("line"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +9,6 @@ from pyspark.sql import functions as F
 
 Reader = Callable[[str], DataFrame]
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
-
 
 def parquet_reader(spark: SparkSession, directory: str) -> Reader:
     return lambda table: spark.read.parquet(f"{directory}/{table}")
@@ -24,19 +19,6 @@ def catalog_reader(spark: SparkSession, names: Mapping[str, str]) -> Reader:
     return lambda table: spark.table(names.get(table, table))
 
 
-def jdbc_options(environ: Mapping[str, str] = os.environ, prefix: str = "sql_") -> dict[str, str]:
-    """Connection options out of the environment: server, port, database, user, password, driver class."""
-    url = "jdbc:sqlserver://{server}:{port};databaseName={database}".format(
-        **{key: environ[prefix + key] for key in ("server", "port", "database")}
-    )
-    return {
-        "url": url,
-        "user": environ[prefix + "uid"],
-        "password": environ[prefix + "pwd"],
-        "driver": environ[prefix + "driver"],
-    }
-
-
 def jdbc_reader(
     spark: SparkSession, names: Mapping[str, str], options: Mapping[str, str], splits: Mapping[str, Mapping] = {}
 ) -> Reader:
@@ -52,6 +34,11 @@ def jdbc_reader(
 # --- sinks --------------------------------------------------------------------
 
 
+def summed_by_month(sales: DataFrame) -> DataFrame:
+    """Sales summed to outlet, article and month."""
+    return sales.groupBy("outlet_id", "article_id", "period").agg(F.sum("qty").alias("qty"))
+
+
 def write_monthly_sales(sales: DataFrame, path: str) -> None:
     """Sales summed to outlet, article and month, stored by month.
 
@@ -59,9 +46,9 @@ def write_monthly_sales(sales: DataFrame, path: str) -> None:
     files per month few, and let a reader skip files by outlet.
     """
     keys = ["period", "outlet_id", "article_id"]
-    monthly = sales.groupBy(*keys).agg(F.sum("qty").alias("qty"))
     (
-        monthly.repartitionByRange(*keys)
+        summed_by_month(sales)
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -81,29 +68,7 @@ def write_report(report: DataFrame, path: str) -> None:
     writer.partitionBy("period").parquet(path)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a scratch folder in local mode only."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="outletscope-")
-
-
-def _new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back: computed once, safe on disk."""
-    path = _new_path(df.sparkSession, name)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """An intermediate result written to a path all executors share and read back: computed once, safe on disk."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stored_monthly_sales(sales: DataFrame) -> DataFrame:
-    """The monthly sales in the shared folder, for a job with many uses of them."""
-    path = _new_path(sales.sparkSession, "monthly-sales")
-    write_monthly_sales(sales, path)
-    return read_monthly_sales(sales.sparkSession, path)

@@ -28,13 +28,6 @@ def test_previous_month_clamps_or_overflows(spark):
     assert [periods.previous_month_of(d, overflow=True) for d in days] == overflow
 
 
-def test_previous_month_text():
-    assert periods.previous_month_text(date(2025, 2, 17)) == "Janvier 2025"
-    assert periods.previous_month_text(date(2025, 2, 17), "key") == "202501"
-    with pytest.raises(ValueError):
-        periods.previous_month_text(date(2025, 2, 17), "other")
-
-
 def test_month_label(spark):
     assert values(spark, [202501, 202508, 202512], "INT", periods.month_label) == [
         "Janvier 2025",
@@ -61,8 +54,6 @@ def test_send_dates(spark):
     months = [202505, 202508, 202506, 202507]
     got = values(spark, months, "INT", lambda k: periods.send_date(k, holidays=HOLIDAYS_2025))
     assert got == [date(2025, 5, 19), date(2025, 8, 18), date(2025, 6, 17), date(2025, 7, 17)]
-    assert [periods.send_date_of(m, holidays=HOLIDAYS_2025) for m in months] == got
-    assert periods.send_date_of(202511, day=11, holidays=HOLIDAYS_2025) == date(2025, 11, 12)
 
 
 def test_roll_forward_over_holidays_and_month_end(spark):

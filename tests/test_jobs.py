@@ -10,7 +10,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from outletscope.operators import areas, launches, molecules, offers
-from outletscope.operators.joins import BROADCAST_ROWS_CONF, fits_broadcast
+from outletscope.operators.joins import global_rank
+from outletscope.functions.numbers import share_fits, share_percent
 from outletscope.plans import queries as q
 from outletscope.plans import report as reports
 from outletscope.sources import star, tables
@@ -83,9 +84,10 @@ def test_launch_scorecard_equals_the_full_grid(domain):
 # --- joins
 
 
-def test_broadcast_is_checked(spark):
-    assert fits_broadcast(spark.range(10), 10)
-    assert not fits_broadcast(spark.range(11), 10)
+def test_global_rank(spark):
+    words = spark.createDataFrame([(w,) for w in ("b", "ab", "aa", "ca", "", "aab", "z")], "w STRING")
+    ranked = global_rank(words, F.substring("w", 1, 1), "w")
+    assert rows(ranked, "rank", "w") == [(i + 1, w) for i, w in enumerate(["", "aa", "aab", "ab", "b", "ca", "z"])]
 
 
 def test_both_join_ways_agree(spark, domain):
@@ -98,12 +100,10 @@ def test_both_join_ways_agree(spark, domain):
         )
 
     broadcast = results()
-    spark.conf.set(BROADCAST_ROWS_CONF, "-1")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         assert results() == broadcast
     finally:
-        spark.conf.unset(BROADCAST_ROWS_CONF)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
@@ -128,16 +128,14 @@ def test_top_is_limited_before_its_shuffle(spark, capsys):
     assert plan.count("WindowGroupLimit") >= 2
 
 
-def test_large_catalogue_is_not_broadcast_and_the_fact_is_summed_first(spark, capsys):
-    spark.conf.set(BROADCAST_ROWS_CONF, "-1")
+def test_the_fact_is_cut_to_the_catalogue_and_summed_before_it_is_joined(spark, capsys):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = plan_of(q.QUERIES["top_switch"](spark, DIR), capsys)
     finally:
-        spark.conf.unset(BROADCAST_ROWS_CONF)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Broadcast" not in plan
-    assert "outlet_id" in plan and "Keys [2]: [outlet_id" in plan
+    assert "LeftSemi" in plan and "Keys [2]: [outlet_id" in plan
 
 
 def test_period_reaches_the_files(spark, capsys):
@@ -192,26 +190,15 @@ def test_domain_from_catalog_names(spark):
     assert rows(domain.lab) == [("1", "x")]
 
 
-def test_jdbc_options_come_from_the_environment():
-    environ = dict(sql_server="h", sql_port="1433", sql_database="db", sql_uid="u", sql_pwd="p", sql_driver="c")
-    assert tables.jdbc_options(environ) == {
-        "url": "jdbc:sqlserver://h:1433;databaseName=db",
-        "user": "u",
-        "password": "p",
-        "driver": "c",
-    }
-
-
-def test_shared_folder_is_the_one_the_session_names(spark):
-    assert tables.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
-
-
 # --- report
 
 
 @pytest.fixture(scope="module")
-def report(spark):
-    return tables.stored(q.report_dataset(spark, DIR), "report")
+def report(spark, tmp_path_factory):
+    first, last = q.trailing_months(q.MONTH, q.TRAILING_MONTHS)
+    domain = star.load_star(spark, DIR, min(first, q.SINCE), last)
+    folder = str(tmp_path_factory.mktemp("report"))
+    return tables.stored(reports.report_dataset(domain, q.REPORT, folder=folder), f"{folder}/report")
 
 
 def test_report_has_every_table_for_each_outlet(report):
@@ -242,25 +229,45 @@ def test_report_is_written_by_month(spark, report, tmp_path):
 
 
 def test_status_and_summary(spark):
+    few = D("10.00")
     report = spark.createDataFrame(
-        [(1, 202505, "L", "a@b", D(1)), (2, 202505, None, "a@b", D(1)), (3, 202505, "L", None, D(1)), (1003, 202505, "L", "c@d", None),
-         (2500, 202505, "L", "e@f", D(0))],
-        "outlet_id BIGINT, period INT, label STRING, mail STRING, margin DECIMAL(20,2)",
+        [(1, 202505, "L", "a@b", D(1), few), (2, 202505, None, "a@b", D(1), few), (3, 202505, "L", None, D(1), few),
+         (1003, 202505, "L", "c@d", None, few), (2500, 202505, "L", "e@f", D(0), None), (9, 202505, "L", "g@h", D(1), D("1e10"))],
+        "outlet_id BIGINT, period INT, label STRING, mail STRING, margin DECIMAL(20,2), total_share DECIMAL(28,2)",
     )
     status = reports.run_status(report)
     assert rows(status, "outlet_id", "status") == [
-        (1, "OK"), (1003, "ERREUR: totals missing"), (2, "ERREUR: outlet not found"), (2500, "OK"), (3, "ERREUR: no mail address"),
+        (1, "OK"), (1003, "ERREUR: totals missing"), (2, "ERREUR: outlet not found"), (2500, "OK"),
+        (3, "ERREUR: no mail address"), (9, "ERREUR: share out of range"),
     ]
-    text = "Bilan de l'envoi des rapports du 2025-06-17\n - Envoyés OK : 2\n - En erreurs : 3\n\nDétails des erreurs :\n"
-    assert rows(reports.run_summary(status, date(2025, 6, 17))) == [(2, 3, text)]
-    assert rows(reports.run_summary(status.filter("false"), date(2025, 6, 17)), "n_ok", "n_err") == [(0, 0)]
-    assert rows(reports.error_text(status)) == [
-        (202505, 0, 2, "ID=2 | Email=a@b | Statut=ERREUR: outlet not found\nID=3 | Email=NA | Statut=ERREUR: no mail address"),
-        (202505, 1, 1, "ID=1003 | Email=c@d | Statut=ERREUR: totals missing"),
-        (202505, 2, 0, "Aucune erreur rencontrée."),
+    text = "Bilan de l'envoi des rapports du 2025-06-17\n - Envoyés OK : {}\n - En erreurs : {}\n\nDétails des erreurs :\n"
+    assert rows(reports.run_summary(status, date(2025, 6, 17))) == [(2, 4, text.format(2, 4))]
+    without = text.format(0, 0) + "Aucune erreur rencontrée."
+    assert rows(reports.run_summary(status.filter("false"), date(2025, 6, 17))) == [(0, 0, without)]
+    assert rows(reports.error_lines(status)) == [
+        (202505, 1003, "ID=1003 | Email=c@d | Statut=ERREUR: totals missing"),
+        (202505, 2, "ID=2 | Email=a@b | Statut=ERREUR: outlet not found"),
+        (202505, 3, "ID=3 | Email=NA | Statut=ERREUR: no mail address"),
+        (202505, 9, "ID=9 | Email=g@h | Statut=ERREUR: share out of range"),
     ]
 
 
+def test_returns_do_not_stop_other_outlets(spark):
+    """Nearly all sales returned: the share is far out of range, and only that outlet's."""
+    money = spark.createDataFrame([(D("1000000.00"), D("0.01")), (D("1.00"), D("4.00"))], "focus DECIMAL(20,2), whole DECIMAL(20,2)")
+    share = share_percent(F.col("focus"), F.col("whole"))
+    assert rows(money.select(share, share_fits(share))) == [(D("10000000000.00"), False), (D("25.00"), True)]
+
+
+def test_building_a_query_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    for name in ("top_switch", "launch_scorecard", "molecule_month", "monthly_sales", "report_totals", "run_status", "density_bands"):
+        spark.sparkContext.setJobGroup(f"build-{name}", name)
+        q.QUERIES[name](spark, DIR)
+        assert len(tracker.getJobIdsForGroup(f"build-{name}")) == 0, name
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_since_window_must_not_be_empty(domain):
     params = reports.ReportParams(as_of=date(2025, 2, 17), period=202501)
     with pytest.raises(ValueError):
@@ -283,6 +290,20 @@ def test_quota_gap_and_bands(spark):
     assert rows(areas.density_bands(units, n=3), "area_id", "band") == [(1, 2), (2, 3), (3, 1), (4, None)]
 
 
+def test_bands_of_many_areas_are_exact(spark, duck):
+    """Far more areas than a quantile sketch holds exactly, many of them equal."""
+    units = spark.range(60_000).select(
+        F.col("id").cast("int").alias("area_id"),
+        (F.xxhash64("id") % 900_000 + 900_000).alias("population"),
+        (F.col("id") % 7).alias("outlets"),
+    )
+    found = {r["area_id"]: (r["inhabitants_per_outlet"], r["band"]) for r in areas.density_bands(units).collect()}
+    values = sorted(v for v, _ in found.values() if v is not None)
+    n = len(values)
+    edges = [values[-(-n * i // 5) - 1] for i in range(1, 5)]
+    assert all(band == (None if v is None else 1 + sum(e < v for e in edges)) for v, band in found.values())
+
+
 def test_population_correlation_is_exact_on_a_line(spark):
     units = spark.createDataFrame([(i, 1000 * i, 2 * i + 1) for i in range(1, 9)], "area_id INT, population BIGINT, outlets BIGINT")
     found = areas.population_correlation(units).first()
