@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked within a number of differing bits.
 
-Fingerprints that differ in at most r of 64 bits agree on at least one of r + 1 bands of bits. Only fingerprints that
-share a band are compared, and they are compared bit-sliced: bit planes stored vertically, distances of many
+Fingerprints that differ in at most r of 64 bits agree on at least two of r + 2 bands of bits. Only fingerprints that
+share a pair of bands are compared: about 21 bits for a radius of 4, so that buckets stay small where one band's 13 bits
+would give thousands of members. They are compared bit-sliced: bit planes stored vertically, distances of many
 candidates kept in carry-save counters, queries given up once every candidate exceeds the radius.
 
 Cases: a null or empty text, or one without words, has fingerprint zero and links like any other. Equal texts have
@@ -13,7 +14,7 @@ component of each of their fingerprints. An empty table gives an empty result. O
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +171,7 @@ def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def _tiles(radius: int):
-    """Links in the buckets of a partition sorted by bucket; whole buckets are gathered to tiles."""
+    """Links in the buckets of a partition sorted by bucket; whole buckets of two or more are gathered to tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = {k: np.zeros(0, dtype=np.int64) for k in ("bucket", "fingerprint", "id")}
@@ -180,6 +181,12 @@ def _tiles(radius: int):
 
         for batch in batches:
             rest = {k: np.concatenate([v, _numbers(batch, k)]) for k, v in rest.items()}
+            if not len(rest["id"]):
+                continue
+            turn = np.diff(rest["bucket"]) != 0
+            # a member alone in its bucket has no partner; the last one's bucket may go on
+            shared = ~(np.append(True, turn) & np.append(turn, False))
+            rest = {k: v[shared] for k, v in rest.items()}
             ends = np.flatnonzero(np.diff(rest["bucket"])) + 1
             links, lo = [], 0
             while len(ends) and ends[-1] - lo >= TILE:
@@ -241,12 +248,11 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     nodes: id and fingerprint, one row per fingerprint.
     """
-    bands = radius + 1
-    edges = [round(BITS * i / bands) for i in range(bands + 1)]
-    keys = [
-        F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) * bands + i
-        for i, (lo, hi) in enumerate(zip(edges, edges[1:]))
-    ]
+    count = radius + 2
+    edges = [round(BITS * i / count) for i in range(count + 1)]
+    bands = [F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
+    # two buckets whose hashes agree are one larger bucket; distances decide
+    keys = [F.xxhash64(F.lit(i), *pair) for i, pair in enumerate(combinations(bands, 2))]
     members = nodes.select(F.explode(F.array(*keys)).alias("bucket"), "fingerprint", "id")
     large = members.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket")
     columns = "u long, v long"

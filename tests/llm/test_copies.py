@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -90,6 +91,24 @@ def test_counters_and_abandoning():
         assert (full == (np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)).all()
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_tiles_of_buckets_cut_by_batches(rows):
+    """Buckets of one member, buckets that go on in the next batch, and an empty batch."""
+    draw = np.random.default_rng(4)
+    buckets = np.sort(np.concatenate([np.arange(100), draw.integers(0, 100, 60), np.full(30, 50)]))
+    values = np.left_shift(buckets, 20) ^ draw.integers(0, 4, len(buckets))
+    whole = pa.RecordBatch.from_pydict({"bucket": buckets, "fingerprint": values, "id": np.arange(len(buckets))})
+    batches = [whole.slice(0, 0), *(whole.slice(i, rows) for i in range(0, len(buckets), rows))]
+    links = [tuple(r.values()) for b in simhash._tiles(2)(iter(batches)) for r in b.to_pylist()]
+    root = {i: i for i in range(len(buckets))}
+    for u, v in links:
+        assert (int(values[u]) ^ int(values[v])).bit_count() <= 2
+        low, high = sorted((root[u], root[v]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    assert [buckets[root[i]] for i in range(len(buckets))] == buckets.tolist()
+    assert len(set(root.values())) == 100
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(300, 400)] + [(5, 5), (400, 7)]
     found = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
