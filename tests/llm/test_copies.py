@@ -96,7 +96,7 @@ def test_tiles_of_buckets_cut_by_batches(rows):
     """Buckets of one member, buckets that go on in the next batch, and an empty batch."""
     draw = np.random.default_rng(4)
     buckets = np.sort(np.concatenate([np.arange(100), draw.integers(0, 100, 60), np.full(30, 50)]))
-    values = np.left_shift(buckets, 20) ^ draw.integers(0, 4, len(buckets))
+    values = draw.integers(0, 1 << 62, 100)[buckets] ^ draw.integers(0, 4, len(buckets))  # far apart unless of one bucket
     whole = pa.RecordBatch.from_pydict({"bucket": buckets, "fingerprint": values, "id": np.arange(len(buckets))})
     batches = [whole.slice(0, 0), *(whole.slice(i, rows) for i in range(0, len(buckets), rows))]
     links = [tuple(r.values()) for b in simhash._tiles(2)(iter(batches)) for r in b.to_pylist()]
