@@ -6,7 +6,9 @@ term's weight is the log odds of toxic documents over others. Matches inside an
 weights found, and the same per 100 words, go through a logistic curve.
 
 Training: the terms, exceptions and the curve are learned from at most TRAIN_ROWS labelled documents, chosen by a hash
-of their id, and all bounded by parameters; scoring reads the text only.
+of their id, and all bounded by parameters; scoring reads the text only. Near copies of a document of the same side, told
+by most of SKETCH independent hashes agreeing with that one document, count once as evidence for terms and exceptions;
+the curve is fitted on the sample as it is.
 
 Cases: a null or empty text scores as a text without a match. Nothing learned (empty tables, no labels, one class
 only) gives a score of 0 to every row. Null ids and null labels teach nothing; of repeated labels the highest counts.
@@ -18,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ SHORTEST, LONGEST = 4, 10
 SUPPORT, LEAST_WEIGHT, EXPLAIN = 3, 1.2, 12
 #: Least log likelihood ratio of an exception phrase.
 EXCEPTION_EVIDENCE = 10.0
-#: Hashes of a document that tell copies, and how many of them copies share.
-SKETCH, SHARED = 8, 3
+#: Hashes of a document that tell copies, how many of them two copies share at least, and hashes looked up together.
+SKETCH, SHARED, BAND = 64, 45, 3
 
 # Characters of other scripts, digits and signs, and the letter each is read as.
 LOOKALIKES = dict(
@@ -52,6 +54,8 @@ LOOKALIKES = dict(
 )
 PLAIN = str.maketrans({**LOOKALIKES, **{k.upper(): v for k, v in LOOKALIKES.items() if k.isalpha()}})
 SIGNS = frozenset("0134578$@!|€£")
+ODD_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SEEDS = np.random.default_rng(42).integers(0, 1 << 64, SKETCH, dtype=np.uint64)
 
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -169,24 +173,61 @@ def _occurrences(rows: DataFrame, known: frozenset[str] | None = None) -> DataFr
     return rows.mapInArrow(_counts(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _sketch(text: str) -> list[int]:
-    """Least hashes of the text's words."""
-    words = [w.encode() for w in set(text.split())] or [b""]
-    return [min(zlib.crc32(w, seed) for w in words) for seed in range(SKETCH)]
+def _sketch(text: str | None) -> bytes:
+    """Least hashes of the text's pairs of neighbouring words, each under a hash function of its own."""
+    words = (text or "").lower().split()
+    found = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words] or [0], dtype=np.uint64)
+    pairs = np.unique(found[:-1] * ODD_FACTOR + found[1:] if len(found) > 1 else found)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(pairs), 1 << 13):
+        mixed = (pairs[at : at + (1 << 13), None] ^ SEEDS) * ODD_FACTOR
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * ODD_FACTOR
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+    return (least >> np.uint64(32)).astype(np.uint32).tobytes()
 
 
-def _unlike(rows: list[tuple[list[str], list[int]]]) -> list[list[str]]:
-    """The terms of documents that are no copies of one before."""
-    seen: set[tuple[int, int]] = set()
+def _copies(sketches: list[bytes]) -> list[int]:
+    """Places of the documents that share SHARED hashes or more with one and the same document kept before.
+
+    Two such documents differ in fewer hashes than there are bands, so they agree on a whole band and are compared.
+    """
+    rows = np.frombuffer(b"".join(sketches), dtype=np.uint32).reshape(-1, SKETCH)
+    kept: dict[tuple[int, bytes], list[int]] = {}
     out = []
-    for terms, sketch in rows:
-        own = set(enumerate(sketch))
-        if len(own & seen) < SHARED:
-            out.append(terms)
-            seen |= own
+    for i, row in enumerate(rows):
+        bands = [(k, row[k : k + BAND].tobytes()) for k in range(0, SKETCH - BAND + 1, BAND)]
+        near = sorted({j for band in bands for j in kept.get(band, ())})
+        if near and ((rows[near] == row).sum(axis=1) >= SHARED).any():
+            out.append(i)
+            continue
+        for band in bands:
+            kept.setdefault(band, []).append(i)
     return out
 
 
+def _unlike(sample: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The sample without documents that are copies of another of their side, and how many toxic and other ones stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sketches = pa.array([_sketch(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("toxic", "doc_id", "place")), sketches], ["toxic", "doc_id", "place", "sketch"])
+
+    read = sample.select("text", (F.col("toxic") > 0).alias("toxic"), F.col("doc_id").cast("string").alias("doc_id"), "place")
+    found = read.mapInArrow(run, "toxic boolean, doc_id string, place long, sketch binary").toLocalIterator()  # bounded by `rows`
+    rows = sorted((not r.toxic, r.doc_id, bytes(r.sketch), r.place) for r in found)
+    sizes, gone = [], []
+    for side in (False, True):
+        own = [r for r in rows if r[0] == side]
+        copies = _copies([r[2] for r in own])
+        gone += [(own[i][3],) for i in copies]
+        sizes.append(len(own) - len(copies))
+    if not gone:
+        return sample, sizes
+    left_out = sample.sparkSession.createDataFrame(gone, "place long")
+    return sample.join(F.broadcast(left_out), "place", "left_anti"), sizes  # bounded by `rows`
+
+
 def _evidence(toxic: int, other: int, chance: float) -> float:
     """Log likelihood ratio of the toxic share among the documents that hold a term against the share among all."""
     n = toxic + other
@@ -247,11 +288,11 @@ def _curve(features: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions: frozenset[str] = frozenset()) -> Lexicon:
     """The lexicon from docs (text) and labels (toxic); exceptions: further phrases, folded, that shield a term."""
-    sample = checkpointed(_documents(docs, labels, rows))
-    toxic_rows, other_rows = sample.where("toxic > 0"), sample.where("toxic <= 0")
-    sizes = [rows.count() for rows in (toxic_rows, other_rows)]
+    sample = checkpointed(_documents(docs, labels, rows).withColumn("place", F.monotonically_increasing_id()))
+    unlike, sizes = _unlike(sample)
     if not all(sizes):
         return Lexicon()
+    toxic_rows, other_rows = unlike.where("toxic > 0"), unlike.where("toxic <= 0")
     counted = _occurrences(toxic_rows).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(COUNTED)
     toxic = {r.term: r.n for r in counted.collect()}  # bounded by COUNTED
     other = {r.term: r.n for r in _occurrences(other_rows, frozenset(toxic)).collect()}
@@ -260,17 +301,15 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            plain = [folded(t) for t in batch.column("text").to_pylist()]
-            own = [sorted(candidates(t) & known) for t in plain]
-            sketches = [_sketch(t) for t in plain]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), pa.array(sketches, pa.list_(pa.int64()))], ["terms", "sketch"])
+            own = [sorted(candidates(folded(t)) & known) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["terms"])
 
-    found = toxic_rows.mapInArrow(held, "terms array<string>, sketch array<long>").toLocalIterator()  # bounded by `rows`
-    own_terms = _unlike([(r.terms, r.sketch) for r in found])
+    own_terms = [r.terms for r in toxic_rows.mapInArrow(held, "terms array<string>").toLocalIterator()]  # bounded by `rows`
     chosen = _chosen(weights, {t: other.get(t, 0) for t in known}, own_terms, sizes[1])
     lexicon = Lexicon({t: weights[t] for t in chosen}, exceptions, trained=True)
     shares = {t: toxic[t] / (toxic[t] + other.get(t, 0) + 1) for t in chosen}
-    lexicon.exceptions |= _exceptions(sample, lexicon, shares)
+    # a phrase must be in none of the toxic documents, copies among them
+    lexicon.exceptions |= _exceptions(sample.where("toxic > 0").unionByName(other_rows), lexicon, shares)
     return _fitted(sample, lexicon)
 
 

@@ -225,6 +225,24 @@ def test_toxicity_of_odd_documents(documents, labels):
     assert toxicity.toxicity(documents([]), marks).count() == 0
 
 
+def test_only_copies_are_left_out_of_the_evidence(documents, labels):
+    """Different documents of common words all teach; copies teach once, among the others as well."""
+    draw = random.Random(11)
+    common = ["".join(draw.choices("abcdefghiklmnoprstuw", k=6)) for _ in range(60)]
+    slurs = [f"{c}{c}slurry" for c in "bcdfghjklm"]
+
+    def prose():
+        return " ".join(draw.choices(common, k=40))
+
+    rows = [(i, f"{prose()} {slurs[i % 10]} {prose()}", "en") for i in range(60)]
+    quoted = f"{prose()} bbslurry {prose()}"
+    rows += [(100 + i, f"{quoted} copy{i}", "en") for i in range(200)]
+    rows += [(1000 + i, f"{prose()} {prose()}", "en") for i in range(500)]
+    lexicon = toxicity.learn(documents(rows), labels([(i, 1, int(i < 60)) for i, _, _ in rows]))
+    text = " " + " ".join(slurs) + " "
+    assert len(lexicon.matches(text)) == len(slurs)
+
+
 def test_rates_against_a_plain_solver(spark):
     draw = np.random.default_rng(6)
     n, k = 300, 3
