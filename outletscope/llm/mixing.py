@@ -1,12 +1,13 @@
 """Mixing to target weights with soft membership.
 
 A softmax classifier learned from a labelled table gives every document a posterior over domains. A document's rate r
-says how often it is read; the expected tokens of domain k are sum(r * tokens * posterior_k). Nonnegative rates whose
-domain totals match the targets are found by projected gradient steps on the squared distance of the totals. The
-gradient is scaled by M = sum(tokens * p p') over the documents above the floor; a step that doesn't help is taken again
-with M over all documents, and then shortened. A step moves a document's rate by its posterior alone, so long documents aren't moved more than short ones.
-Each step is one aggregation over ids, token counts and posteriors; only the domain totals and M, domains x domains
-numbers, reach the driver.
+says how often it is read; the expected tokens of domain k are sum(r * tokens * posterior_k). Sought are the rates of
+least squared distance of the totals from the targets and, among such, those nearest the rates at the start, in squares
+weighted by tokens. With a small weight eps on that second part the solution is max(floor, start - p.push), one number
+of push for each domain, found by Newton steps on the dual problem, which is convex; eps is lowered until the targets
+are met or a lower bound of the distance, from the same dual problem, shows that none can be nearer. A rate depends on
+the posterior alone, so long documents aren't moved more than short ones. Each step is one aggregation over token counts
+and posteriors, of several step lengths at once; only sums, domains x domains numbers for each length, reach the driver.
 
 Training: at most TRAIN_ROWS labelled documents, chosen by a hash of their id, as BUCKETS + SHAPES numbers each.
 
@@ -19,6 +20,7 @@ result. Other columns are passed through unread.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +35,10 @@ from outletscope.llm.ngrams import ngram_rows
 TRAIN_ROWS = 4_000
 ORDER, BITS = 2, 9
 BUCKETS, SHAPES = 1 << BITS, 5
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, TOLERANCE = 100, 1e-4
+#: Lengths of a step that are tried at once; the weight of the distance from the start at first, its divisor, its least.
+LENGTHS = 8.0 ** -np.arange(8)
+EPS, LOWER, LEAST_EPS = 1e-2, 100.0, 1e-14
 #: Characters handled at once.
 AT_ONCE = 1 << 19
 
@@ -125,49 +130,84 @@ def dotted(columns: list[str], values: list[float]) -> Column:
 
 
 def rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """members (tokens and p_0, p_1, ...) with rate, at least floor, such that the domain totals come near the targets.
+    """members (tokens and p_0, p_1, ..., which sum to 1) with rate, at least floor, of the domain totals nearest the targets.
 
-    Ends when no total is off by more than tolerance of all tokens wanted, or after the given steps; a total that rates
-    of at least floor can't reach stays as near as they get.
+    Ends when no total is off by more than tolerance of all tokens wanted, or when the totals' distance from the targets
+    is within that of the least that rates of at least floor can reach. Warns if neither is so after the given steps.
     """
     if floor < 0:
         raise ValueError("rates are nonnegative")
     names = [f"p_{i}" for i in range(len(targets))]
-    goal = np.array(targets, dtype=float)
-    wanted = max(goal.sum(), 1e-12)
-    out = best = members.withColumn("rate", F.lit(max(1.0, floor)))
-    least, damping, use_free = np.inf, 1.0, True
-    for step in range(steps + 1):
-        state = _state(out, names, goal, floor)
-        off = float(np.linalg.norm(state[0]))
-        if np.abs(state[0]).max() <= tolerance * wanted:
-            return out
-        if off < least - 1e-7 * wanted:
-            least, best, (gaps, full, free) = off, out, state
-            damping, use_free = min(1.0, 2 * damping), np.trace(free) > 0.05 * np.trace(full)
-        elif use_free:
-            use_free = False
+    wanted = max(float(sum(targets)), 1e-12)
+    goal = np.array(targets, dtype=float) / wanted
+    start = max(1.0, floor)
+    push, eps, bound = np.zeros(len(names)), EPS, 0.0
+    (totals, value, low, free), *_ = _states(members, names, push[None], floor, start, wanted)
+    have = totals / start
+    for _ in range(steps):
+        gaps = totals - goal
+        off = float(np.linalg.norm(gaps))
+        # rates of at least floor leave at least this distance, for every v that no posterior's product with is negative
+        v = eps * (push + max(0.0, -low))
+        bound = max(bound, max(0.0, 2 * float(floor * have @ v - goal @ v - v @ v / 2)) ** 0.5)
+        if np.abs(gaps).max() <= tolerance or off - bound <= tolerance:
+            break
+        while np.linalg.norm(eps * push - gaps) <= 0.3 * eps * np.linalg.norm(push) and eps > LEAST_EPS:
+            eps /= LOWER
+        move = np.linalg.solve(free + eps * np.eye(len(names)), gaps - eps * push)
+        trials = push + LENGTHS[:, None] * move
+        found = _states(members, names, trials, floor, start, wanted)
+        dual = [s[1] + goal @ t + eps * (t @ t) / 2 for s, t in zip(found, trials)]
+        best = int(np.argmin(dual))
+        if dual[best] < value + goal @ push + eps * (push @ push) / 2:
+            push, (totals, value, low, free) = trials[best], found[best]
+        elif eps > LEAST_EPS:
+            eps /= LOWER
         else:
-            damping /= 4
-            if damping < 1e-3:
-                break
-        metric = free if use_free else full
-        push = np.linalg.solve(metric + 1e-9 * max(np.trace(full), 1e-12) * np.eye(len(names)), gaps)
-        move = F.col("rate") - dotted(names, (damping * push).tolist())
-        out = best.withColumn("rate", F.greatest(F.lit(float(floor)), move))
-        if step % 8 == 7:
-            out = checkpointed(out)
-    return best
-
-
-def _state(members: DataFrame, names: list[str], goal: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How far the domain totals are off; M over all documents, and over those whose rates are above the floor."""
-    free = F.when(F.col("rate") > floor, F.col("tokens")).otherwise(0)
-    totals = [F.sum(F.col("rate") * F.col("tokens") * F.col(n)) for n in names]
-    pairs = [F.sum(weight * F.col(a) * F.col(b)) for weight in (F.col("tokens"), free) for a in names for b in names]
-    found = [x or 0.0 for x in members.agg(*(c.alias(f"s_{i}") for i, c in enumerate([*totals, *pairs]))).first()]
-    k = len(names)
-    return np.array(found[:k]) - goal, *np.array(found[k:]).reshape(2, k, k)
+            warnings.warn(_short_of(off, bound), stacklevel=2)
+            break
+    else:
+        warnings.warn(_short_of(float(np.linalg.norm(totals - goal)), bound), stacklevel=2)
+    return members.withColumn("rate", F.greatest(F.lit(float(floor)), F.lit(start) - dotted(names, push.tolist())))
+
+
+def _short_of(off: float, bound: float) -> str:
+    return f"domain totals are {off:.3g} of the tokens wanted off their targets; the least distance is only known to be {bound:.3g} or more"
+
+
+def _states(members: DataFrame, names: list[str], pushes: np.ndarray, floor: float, start: float, wanted: float) -> list[tuple]:
+    """For each push, in units of wanted: the domain totals, the documents' part of the dual value, the least product with
+    a posterior, and M = sum(tokens * p p') over the documents whose rates are above the floor."""
+    n, k = pushes.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, least = np.zeros((n, k + 1 + k * k)), np.full(n, np.inf)
+        for batch in batches:
+            tokens = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float) / wanted
+            p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])[tokens > 0]
+            tokens = tokens[tokens > 0]
+            if not len(tokens):
+                continue
+            product = p @ pushes.T
+            plain = start - product
+            rate = np.maximum(floor, plain)
+            least = np.minimum(least, product.min(axis=0))
+            sums[:, :k] += (tokens[:, None] * rate).T @ p
+            sums[:, k] += tokens @ (rate * plain - rate * rate / 2)
+            for i in range(n):
+                free = plain[:, i] > floor
+                sums[i, k + 1 :] += ((p[free] * tokens[free, None]).T @ p[free]).ravel()
+        values = np.column_stack([sums, least]).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
+
+    parts = members.select("tokens", *names).mapInArrow(run, "place long, value double")
+    width = k + 2 + k * k
+    out = np.zeros((n, width))
+    for row in parts.groupBy("place").agg(F.sum("value").alias("total"), F.min("value").alias("least")).collect():  # n * width rows
+        i, j = divmod(row.place, width)
+        out[i, j] = row.total if j < width - 1 else row.least
+    out[np.isinf(out)] = 0
+    return [(r[:k], r[k], r[-1], r[k + 1 : -1].reshape(k, k)) for r in out]
 
 
 def copies(rate: Column, doc_id: Column) -> Column:

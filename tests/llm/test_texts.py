@@ -265,6 +265,46 @@ def test_rates_against_a_plain_solver(spark):
         mixing.rates(members, goal.tolist(), floor=-1.0)
 
 
+def least_distance(a, b):
+    """The least |a x - b| over x >= 0, by the active-set method of Lawson and Hanson."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
+    for _ in range(1000):
+        push = np.where(free, -np.inf, a.T @ (b - a @ x))
+        if push.max() <= 1e-12 * np.abs(a).max():
+            break
+        free[push.argmax()] = True
+        while True:
+            z = np.zeros(len(x))
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if z[free].min() > 0:
+                break
+            worse = free & (z <= 0)
+            x += (x[worse] / (x[worse] - z[worse])).min() * (z - x)
+            free &= x > 1e-14
+            x[~free] = 0
+        x = z
+    return float(np.linalg.norm(a @ x - b))
+
+
+@pytest.mark.parametrize("shares, floor, softness", [((0.86, 0.14), 1.0, 0.4), ((0.86, 0.14), 1.0, 2.0), (None, 0.0, 0.4), (None, 0.0, 2.0)])
+def test_rates_reach_the_least_distance(spark, shares, floor, softness):
+    """Long and short documents, soft posteriors, many rates on the floor; some of the targets are out of reach."""
+    draw = np.random.default_rng(5)
+    n, k = 2000, len(shares or range(8))
+    tokens = np.floor(draw.lognormal(5, 1.5, n))
+    posterior = draw.dirichlet(np.array(shares or draw.dirichlet(np.ones(k))) * softness * k + 0.02, n)
+    have = tokens @ posterior
+    goal = np.array([0.1, 0.9]) if shares else draw.dirichlet(np.ones(k))
+    goal = goal * max(have.sum(), *(floor * have / goal))
+    columns = ", ".join(f"p_{i} double" for i in range(k))
+    members = spark.createDataFrame([(int(t), *map(float, p)) for t, p in zip(tokens, posterior)], f"tokens long, {columns}")
+    rows = mixing.rates(members, goal.tolist(), floor).collect()
+    totals = sum(r.rate * r.tokens * np.array(r[1 : k + 1]) for r in rows)
+    best = least_distance((tokens[:, None] * posterior).T / goal.sum(), (goal - floor * have) / goal.sum())
+    assert min(r.rate for r in rows) >= floor
+    assert np.linalg.norm(totals - goal) / goal.sum() <= best + 2e-4
+
+
 def test_mixture_of_a_corpus(spark):
     rows = queries.op1_mixing(spark, "/root/testdata/sf0.1").collect()
     assert len(rows) == 10_000 and min(r.rate for r in rows) >= 0
