@@ -38,9 +38,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays; of rows that repeat it the first by text."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    """Of each group of near texts a row of the smallest doc_id stays, one whose own text is in the group.
+
+    Of rows that repeat a doc_id and each stand for a group, or are in the same one, the first by text stays.
+    """
+    first = simhash.first_of_groups(docs).groupBy(F.col("doc_id").alias("own_id")).agg(F.collect_set("text_key").alias("own_keys"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), simhash.text_key().alias("own_key"))
+    named = rows.join(first, F.col("row.doc_id") == F.col("own_id")).where(F.array_contains("own_keys", F.col("own_key"))).select("row")
     order = Window.partitionBy("row.doc_id").orderBy(F.col("row.text"))
     kept = named.withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -19,7 +19,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletscope.llm.common import checkpointed
@@ -54,15 +54,23 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(set_in * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def text_key() -> Column:
+    """Tells the texts of rows that repeat a doc_id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of each document."""
+    """doc_id, text_key and fingerprint (as a signed long) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fingerprint"]
+            )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    read = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    return read.mapInArrow(run, "doc_id long, text_key long, fingerprint long")
 
 
 def carry_save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -288,7 +296,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (long) and component_id, the smallest doc_id reached over links, of every document."""
-    marked = checkpointed(fingerprints(docs, words))
+    marked = checkpointed(fingerprints(docs, words).drop("text_key"))
     nodes = marked.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
     found = components(links(nodes, radius))
     # a repeated doc_id with different texts joins their fingerprints' components
@@ -298,3 +306,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return marked.join(named, "fingerprint", "left").select(
         "doc_id", "fingerprint", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
+
+
+def first_of_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id and text_key of the rows that stand for their group: of each group of linked texts those of its smallest doc_id.
+
+    Fingerprints are linked, not documents, so a doc_id with different texts does not join their groups.
+    """
+    marked = checkpointed(fingerprints(docs, words).where("doc_id IS NOT NULL"))
+    nodes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    found = components(links(nodes.select("fingerprint", F.col("fingerprint").alias("id")), radius))
+    grouped = nodes.join(found, nodes.fingerprint == found.node, "left").select(
+        "fingerprint", "doc_id", F.coalesce("component", "fingerprint").alias("group")
+    )
+    least = grouped.groupBy("group").agg(F.min("doc_id").alias("doc_id"))
+    # a fingerprint that the smallest doc_id of its group has is its own smallest doc_id's
+    first = grouped.join(least, ["group", "doc_id"], "left_semi").select("doc_id", "fingerprint")
+    return marked.join(first, ["doc_id", "fingerprint"], "left_semi").select("doc_id", "text_key").distinct()

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from outletscope.llm import language, mixing, pieces, queries, sharding, token_counts, topk, toxicity
+from outletscope.llm import language, mixing, pieces, queries, sharding, simhash, token_counts, topk, toxicity
 from tests.llm.conftest import LONG, ODD
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=pieces.VOCABULARY)
@@ -305,6 +305,18 @@ def test_rates_reach_the_least_distance(spark, shares, floor, softness):
     assert np.linalg.norm(totals - goal) / goal.sum() <= best + 2e-4
 
 
+def test_a_unique_text_of_a_repeated_id_stays(spark, documents):
+    """A row whose doc_id also has a copy of another document's text is not dropped for it, and the copy is."""
+    original = " ".join(words(i) for i in range(30))
+    near = next(
+        t for i in range(1000) if 0 < (simhash.fingerprint(t := f"{original} {words(i + 50)[:6]}") ^ simhash.fingerprint(original)).bit_count() <= simhash.RADIUS
+    )
+    unique = {i: "zz " + " ".join(words(j) for j in range(i * 100, i * 100 + 9)) for i in (7, 8)}
+    rows = [(3, original, "en"), (7, original, "en"), (7, unique[7], "en"), (8, near, "en"), (8, unique[8], "en"), (9, near, "en")]
+    found = corpus_pipeline.drop_near_copies(spark, documents(rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(3, original), (7, unique[7]), (8, unique[8])]
+
+
 def test_mixture_of_a_corpus(spark):
     rows = queries.op1_mixing(spark, "/root/testdata/sf0.1").collect()
     assert len(rows) == 10_000 and min(r.rate for r in rows) >= 0
