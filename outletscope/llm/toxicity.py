@@ -35,8 +35,8 @@ from outletscope.llm.common import checkpointed, held_out, sampled, slices
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 15_000
-#: Most candidates taken from the toxic documents, terms of the lexicon, and exceptions.
-COUNTED, TERMS, EXCEPTIONS = 30_000, 300, 300
+#: Most terms of the lexicon, and exceptions.
+TERMS, EXCEPTIONS = 300, 300
 SHORTEST, LONGEST = 4, 10
 #: Least documents of a term or exception, a term's least log odds, terms that explain a toxic document.
 SUPPORT, LEAST_WEIGHT, EXPLAIN = 3, 1.2, 12
@@ -148,29 +148,39 @@ def _documents(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return read.join(F.broadcast(sampled(marks, rows)), "doc_id")  # at most `rows` labels
 
 
-def _counts(known: frozenset[str] | None):
-    """In how many documents of the partition each candidate occurs, or each of the known ones."""
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and other documents of the partition each candidate occurs."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())
+    for batch in slices(batches):
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            found[toxic <= 0].update(candidates(folded(text)))
+        if sum(map(len, found)) > 500_000:
+            yield _pairs(*found)
+            found = (Counter(), Counter())
+    yield _pairs(*found)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                own = candidates(folded(text))
-                found.update(own if known is None else own & known)
-            if len(found) > 500_000:
-                yield _pairs(found)
-                found = Counter()
-        yield _pairs(found)
-
-    return run
 
+def _pairs(toxic: Counter, other: Counter) -> pa.RecordBatch:
+    terms, none = [*toxic, *other], [0]
+    counts = [[*toxic.values(), *none * len(other)], [*none * len(toxic), *other.values()]]
+    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["term", "toxic", "other"])
 
-def _pairs(found: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
 
+def _telling(rows: DataFrame, sizes: list[int]) -> tuple[dict[str, tuple[int, int]], int]:
+    """Documents that hold each term (toxic, other) whose evidence is enough, and the number of terms it was chosen from.
 
-def _occurrences(rows: DataFrame, known: frozenset[str] | None = None) -> DataFrame:
-    return rows.mapInArrow(_counts(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    Evidence only shrinks while terms are chosen, so no other term could get in.
+    """
+    counted = rows.mapInArrow(_counts, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    weight = F.log((F.col("toxic") + 0.5) / (sizes[0] + 1)) - F.log((F.col("other") + 0.5) / (sizes[1] + 1))
+    known = checkpointed(counted.where((F.col("toxic") >= SUPPORT) & (weight >= LEAST_WEIGHT)))
+    number, chance = known.count(), sizes[0] / sum(sizes)
+    n = F.col("toxic") + F.col("other")
+    share = F.col("toxic") / n
+    evidence = n * (share * F.log(share / chance) + (1 - share) * F.log(F.greatest(1 - share, F.lit(1e-12)) / (1 - chance)))
+    # logarithms may differ in the last digits; _chosen decides
+    strong = known.where((share > chance) & (evidence >= _bound(number) - 1e-6))
+    return {r.term: (r.toxic, r.other) for r in strong.collect()}, number
 
 
 def _sketch(text: str | None) -> bytes:
@@ -237,16 +247,21 @@ def _evidence(toxic: int, other: int, chance: float) -> float:
     return n * (share * math.log(share / chance) + (1 - share) * math.log(max(1 - share, 1e-12) / (1 - chance)))
 
 
+def _bound(number: int) -> float:
+    """More evidence than the best of so many terms reaches by chance."""
+    return math.log(max(1, number)) + 3
+
+
 def _nested(a: str, b: str) -> bool:
     """Whether one pattern is the beginning of the other."""
     return a.startswith(b.rstrip()) or b.startswith(a.rstrip())
 
 
-def _chosen(weights: dict[str, float], other: dict[str, int], rows: list[list[str]], n_other: int) -> list[str]:
+def _chosen(weights: dict[str, float], other: dict[str, int], rows: list[list[str]], n_other: int, number: int) -> list[str]:
     """Terms that explain the toxic documents (rows, as their terms), the strongest evidence first.
 
     A document is explained by EXPLAIN terms and gives no evidence for more: words that only go along with others do
-    not get in. The evidence must exceed what the best of as many terms reaches by chance. Of terms of a word that
+    not get in. The evidence must exceed what the best of number terms reaches by chance. Of terms of a word that
     explain about as much, the longest is the most specific; another term of that word must weigh more to get in.
     """
     chance = len(rows) / (len(rows) + n_other)
@@ -254,7 +269,7 @@ def _chosen(weights: dict[str, float], other: dict[str, int], rows: list[list[st
     for i, own in enumerate(rows):
         for term in own:
             holds[term].add(i)
-    bound = math.log(max(1, len(other))) + 3
+    bound = _bound(number)
     missing = [EXPLAIN] * len(rows)
     out: list[str] = []
     while len(out) < TERMS and holds:
@@ -293,11 +308,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     if not all(sizes):
         return Lexicon()
     toxic_rows, other_rows = unlike.where("toxic > 0"), unlike.where("toxic <= 0")
-    counted = _occurrences(toxic_rows).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "term").limit(COUNTED)
-    toxic = {r.term: r.n for r in counted.collect()}  # bounded by COUNTED
-    other = {r.term: r.n for r in _occurrences(other_rows, frozenset(toxic)).collect()}
-    weights = {t: float(np.log((n + 0.5) / (sizes[0] + 1)) - np.log((other.get(t, 0) + 0.5) / (sizes[1] + 1))) for t, n in toxic.items()}
-    known = frozenset(t for t in toxic if weights[t] >= LEAST_WEIGHT)
+    counts, number = _telling(unlike, sizes)
+    weights = {t: float(np.log((a + 0.5) / (sizes[0] + 1)) - np.log((b + 0.5) / (sizes[1] + 1))) for t, (a, b) in counts.items()}
+    known = frozenset(counts)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -305,9 +318,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["terms"])
 
     own_terms = [r.terms for r in toxic_rows.mapInArrow(held, "terms array<string>").toLocalIterator()]  # bounded by `rows`
-    chosen = _chosen(weights, {t: other.get(t, 0) for t in known}, own_terms, sizes[1])
+    chosen = _chosen(weights, {t: b for t, (_, b) in counts.items()}, own_terms, sizes[1], number)
     lexicon = Lexicon({t: weights[t] for t in chosen}, exceptions, trained=True)
-    shares = {t: toxic[t] / (toxic[t] + other.get(t, 0) + 1) for t in chosen}
+    shares = {t: counts[t][0] / (sum(counts[t]) + 1) for t in chosen}
     # a phrase must be in none of the toxic documents, copies among them
     lexicon.exceptions |= _exceptions(sample.where("toxic > 0").unionByName(other_rows), lexicon, shares)
     return _fitted(sample, lexicon)

@@ -243,6 +243,15 @@ def test_only_copies_are_left_out_of_the_evidence(documents, labels):
     assert len(lexicon.matches(text)) == len(slurs)
 
 
+def test_rare_toxic_terms_are_not_cut_by_frequency(documents, labels):
+    """More frequent words than were once counted, all of them harmless, and a rare term that is purely toxic."""
+    draw = random.Random(12)
+    harmless = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(5_000)]
+    rows = [(i, " ".join(draw.sample(harmless, 3_000)) + " rareslur" * (i < 6), "en") for i in range(84)]
+    lexicon = toxicity.learn(documents(rows), labels([(i, 1, int(i < 24)) for i, _, _ in rows]))
+    assert lexicon.matches(" a rareslur here ")
+
+
 def test_rates_against_a_plain_solver(spark):
     draw = np.random.default_rng(6)
     n, k = 300, 3
