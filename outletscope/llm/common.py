@@ -58,6 +58,11 @@ def sampled(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     return rows.join(F.broadcast(chosen), key, "left_semi")  # bounded by `most`
 
 
+def present(rows: DataFrame, others: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is in others."""
+    return rows.join(others.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one hold about so many bytes."""
     for batch in batches:

@@ -9,7 +9,7 @@ are met or a lower bound of the distance, from the same dual problem, shows that
 the posterior alone, so long documents aren't moved more than short ones. Each step is one aggregation over token counts
 and posteriors, of several step lengths at once; only sums, domains x domains numbers for each length, reach the driver.
 
-Training: at most TRAIN_ROWS labelled documents, chosen by a hash of their id, as BUCKETS + SHAPES numbers each.
+Training: at most TRAIN_ROWS labelled documents of the table, chosen by a hash of their id, as BUCKETS + SHAPES numbers each.
 
 Cases: a null or empty text has no tokens, the posterior of an empty text, and a rate like any other. A domain nobody
 belongs to can't reach its target; the nearest totals are found. Unlabelled documents and labels without a document
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from outletscope.llm.common import checkpointed, sampled, slices
+from outletscope.llm.common import checkpointed, present, sampled, slices
 from outletscope.llm.ngrams import ngram_rows
 
 TRAIN_ROWS = 4_000
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
     """labelled: doc_id and domain. The classifier of the given domains."""
     marks = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(sampled(marks, rows)), "doc_id")  # at most `rows` labels
+    sample = texts.join(F.broadcast(sampled(present(marks, docs), rows)), "doc_id")  # at most `rows` labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=AT_ONCE):

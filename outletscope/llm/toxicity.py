@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletscope.llm.common import checkpointed, held_out, sampled, slices
+from outletscope.llm.common import checkpointed, held_out, present, sampled, slices
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 15_000
@@ -142,10 +142,10 @@ class Lexicon:
 
 
 def _documents(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text and toxic of a bounded sample of labelled documents."""
+    """doc_id, text and toxic of a bounded sample of the labelled documents that docs has."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     read = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"))
-    return read.join(F.broadcast(sampled(marks, rows)), "doc_id")  # at most `rows` labels
+    return read.join(F.broadcast(sampled(present(marks, docs), rows)), "doc_id")  # at most `rows` labels
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

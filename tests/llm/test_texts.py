@@ -252,6 +252,14 @@ def test_rare_toxic_terms_are_not_cut_by_frequency(documents, labels):
     assert lexicon.matches(" a rareslur here ")
 
 
+def test_labels_of_absent_documents_take_no_place_in_the_samples(documents, labels, spark):
+    rows = [(i, f"number {words(i)}", "en") for i in range(10)]
+    marks = labels([(i, 1, i % 2) for i in range(1_000)])
+    assert toxicity._documents(documents(rows), marks, 10).count() == 10
+    model = mixing.train(documents(rows), marks.selectExpr("doc_id", "if(toxic > 0, 'a', 'b') AS domain"), ["a", "b"], rows=10)
+    assert model.weights.any()
+
+
 def test_rates_against_a_plain_solver(spark):
     draw = np.random.default_rng(6)
     n, k = 300, 3
