@@ -55,9 +55,3 @@ def make_domain(spark):
         return load_domain(lambda name: spark.createDataFrame(tables.get(name, []), nullable(name)))
 
     return make
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)

@@ -6,7 +6,6 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
 
 from outletscope.operators import areas, launches, molecules, offers
@@ -16,6 +15,7 @@ from outletscope.plans import queries as q
 from outletscope.plans import report as reports
 from outletscope.sources import star, tables
 from outletscope.sources.domain import load_domain
+from tests.tables import rows
 
 DIR = "/root/testdata/sf0.01"
 D = Decimal

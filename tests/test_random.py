@@ -9,13 +9,13 @@ from decimal import Decimal
 import duckdb
 import pyarrow as pa
 import pytest
-from conftest import rows
 
 from outletscope.operators import launches, molecules, offers, outlets
 from outletscope.plans import oracle
 from outletscope.plans.queries import AS_OF, END, LAB, MONTH, START, plain
 from outletscope.sources import star
 from outletscope.sources.schemas import SCHEMAS
+from tests.tables import rows
 
 LABS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4"]
 WORDS = ["rod", "ring", "bolt", "gear", "widget", "anvil", "RODding"]

@@ -6,11 +6,11 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from conftest import rows
 
 from outletscope.constants import MOLECULE_RULES
 from outletscope.operators import display, launches, molecules, offers, outlets
 from outletscope.sources.domain import null_keys
+from tests.tables import rows
 
 AS_OF = date(2025, 6, 30)
 LATER, EARLIER = date(2025, 12, 31), date(2025, 1, 1)
