@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 #: Texts handed to numpy at once hold about so many characters; a longer text is handled alone.
 BATCH_CHARS = 1 << 21
@@ -63,10 +64,34 @@ def present(rows: DataFrame, others: DataFrame, key: str = "doc_id") -> DataFram
     return rows.join(others.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
 
 
+def quoted(name: str) -> str:
+    """A column's name as `F.col` takes it, blanks, dashes and dots included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed_rows(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep (all, if not said) as struct `row`; text beside it only where it isn't in there as a string."""
+    kept = docs.columns if keep is None else keep
+    row = F.struct(*[F.col(quoted(c)) for c in kept]).alias("row")
+    if "text" in kept and docs.schema["text"].dataType == StringType():
+        return docs.select(row)
+    return docs.select(row, F.col("text").cast("string").alias("text"))
+
+
+def row_schema(rows: DataFrame, more: str) -> StructType:
+    """Struct `row` as in rows, and the columns of a DDL text behind it."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(more).fields])
+
+
+def column_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
+    """A column of a batch, or the field of that name of its struct `row`."""
+    return batch.column(column) if column in batch.schema.names else batch.column("row").field(column)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one hold about so many bytes."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(column_of(batch, column)).fill_null(0).to_pylist()
         first = taken = 0
         for i, size in enumerate(sizes):
             if taken and taken + size > chars:

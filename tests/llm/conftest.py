@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Names that the operators use inside.
 CLASHES = ["row", "id", "fingerprint", "part", "high", "score", "n_lines", "tokens", "copies", "time", "place", "kept", "term"]
+CLASHES += ["items", "hits", "runs", "kind", "copy", "words", "a b", "c-d", "e.f", "g`h"]
 
 SCHEMA = StructType(
     [
@@ -41,6 +42,44 @@ ODD = [
     (None, None, None),
 ]
 
+#: (item_id, text): nulls, empty and short items, one without an id, repeats, a very long item.
+ODD_ITEMS = [
+    (1, None),
+    (2, ""),
+    (3, "?!"),
+    (4, LINE),
+    (4, LINE),
+    (5, f"Before it: {LINE.upper()}, and behind it"),
+    (6, "THE... seventh"),
+    (7, " ".join(f"word{i % 977}x{i % 31}" for i in range(59_000, 59_011))),
+    (8, LONG),
+    (None, "some words"),
+]
+
+#: (vec_id, embedding, label): nulls, empty, short, not finite, repeated rows and ids, ties.
+ODD_VECTORS = [
+    (0, [0.5, -0.25, 1.0], 1),
+    (0, [0.5, -0.25, 1.0], 1),
+    (50, [0.5, -0.25, 1.0], 1),
+    (100, [0.5, 0.5, 0.5], 2),
+    (100, [0.25, 0.5, 0.5], 2),
+    (1, [1.0, 1.0, 1.0], 1),
+    (2, [1.0, 1.0, 1.0], 1),
+    (3, [0.9, 0.9, 0.5], 2),
+    (4, [0.5, 0.5, 0.5], 3),
+    (5, [0.5, 0.5, 0.5], 3),
+    (7, [0.8, 0.1, 0.1], 9),
+    (8, None, 1),
+    (9, [], 1),
+    (10, [1.0, None, 1.0], 1),
+    (11, [1.0, float("nan"), 1.0], 2),
+    (12, [1.0, float("inf"), 1.0], 2),
+    (13, [1.0, 1.0], 1),
+    (14, [1.0, 1.0, 1.0], None),
+    (None, [1.0, 1.0, 1.0], 1),
+    (200, [1.0, 2.0], 1),
+]
+
 
 @pytest.fixture
 def documents(spark):
@@ -71,9 +110,22 @@ def corpus(spark):
 
 @pytest.fixture
 def folder(spark, tmp_path, documents, labels):
-    """A folder of documents and labels, as the queries take it."""
-
-    def write(doc_rows=ODD, label_rows=((6, 1, 0), (7, 0, 0), (8, None, 1), (9, 1, None), (None, 1, 1), (99, 0, 1))):
+    """A folder of documents, labels, benchmark items and embeddings, as the queries take it."""
+    items = StructType([StructField("item_id", LongType()), StructField("text", StringType()), *(StructField(c, StringType()) for c in CLASHES)])
+    vectors = StructType(
+        [StructField("vec_id", LongType()), StructField("embedding", ArrayType(FloatType())), StructField("label", IntegerType())]
+        + [StructField(c, StringType()) for c in (*CLASHES, "vector")]
+    )
+
+    def write(
+        doc_rows=ODD,
+        label_rows=((6, 1, 0), (7, 0, 0), (8, None, 1), (9, 1, None), (None, 1, 1), (99, 0, 1)),
+        item_rows=ODD_ITEMS,
+        vector_rows=ODD_VECTORS,
+    ):
+        spark.createDataFrame([(*r, *["x"] * len(CLASHES)) for r in item_rows], items).write.parquet(f"{tmp_path}/benchmark.parquet")
+        wide = [(*r, *["x"] * (len(CLASHES) + 1)) for r in vector_rows]
+        spark.createDataFrame(wide, vectors).write.parquet(f"{tmp_path}/embeddings.parquet")
         documents(doc_rows).write.parquet(f"{tmp_path}/documents.parquet")
         labels(list(label_rows)).write.parquet(f"{tmp_path}/labels.parquet")
         return str(tmp_path)
