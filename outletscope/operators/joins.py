@@ -7,15 +7,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Places that articles are told by in the filter of a fact: its rows at most, at every size of the catalogue.
+PLACES = 1 << 20
+
+
+def place(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PLACES))
+
+
+def of_wanted(sales: DataFrame, items: DataFrame) -> DataFrame:
+    """Sales of a catalogue's articles, and of few others that share a place with one, cut where the fact is read.
+
+    The places of the wanted articles are no more than PLACES, whatever the catalogue holds, so they may be broadcast and
+    the fact is filtered in its own tasks, before any shuffle. A join with the catalogue ends the few others.
+    """
+    places = items.select(place(F.col("article_id")).alias("wanted_place")).distinct()
+    return sales.join(F.broadcast(places), place(F.col("article_id")) == F.col("wanted_place"), "left_semi")
+
+
 def sell(sales: DataFrame, items: DataFrame) -> DataFrame:
     """Sales of the catalogue's articles, summed to outlet and article, with the catalogue's rows.
 
-    One plan at every size. The filter on articles reaches the fact below its own joins; what it leaves is summed
-    before it is joined, so a best-seller weighs as many rows as there are outlets. How the rows meet the catalogue
-    is left to the optimizer. Every measure is linear in the quantity, so summing first changes nothing.
+    One plan at every size. The fact is cut to the wanted articles where it is read; what is left is joined and summed
+    in parts before it is shuffled on outlet and article, so a best-seller weighs as many rows as there are outlets. How
+    the sums meet the catalogue is left to the optimizer. Every measure is linear in the quantity, so summing first
+    changes nothing.
     """
-    wanted = items.select("article_id").distinct()
-    kept = sales.select("outlet_id", "article_id", "qty").join(wanted, "article_id", "left_semi")
+    kept = of_wanted(sales.select("outlet_id", "article_id", "qty"), items)
     cells = kept.groupBy("outlet_id", "article_id").agg(F.sum("qty").alias("qty"))
     return cells.join(items, "article_id")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from outletscope.operators import areas, launches, molecules, offers
+from outletscope.operators import areas, joins, launches, molecules, offers
 from outletscope.operators.joins import global_rank
 from outletscope.functions.numbers import share_fits, share_percent
 from outletscope.plans import queries as q
@@ -128,14 +129,56 @@ def test_top_is_limited_before_its_shuffle(spark, capsys):
     assert plan.count("WindowGroupLimit") >= 2
 
 
-def test_the_fact_is_cut_to_the_catalogue_and_summed_before_it_is_joined(spark, capsys):
+SOLD = ["top_switch", "top_originator", "switch_total", "originator_total", "margin_total", "molecule_range", "launch_scorecard"]
+
+
+@pytest.mark.parametrize("name", SOLD)
+def test_the_fact_is_cut_where_it_is_read(spark, name):
+    """Only the filter of wanted articles is above the scan, and only its places are broadcast of our own accord."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(q.QUERIES["top_switch"](spark, DIR), capsys)
+        plan = q.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "Broadcast" not in plan
-    assert "LeftSemi" in plan and "Keys [2]: [outlet_id" in plan
+    lines = plan.splitlines()
+    scans = [i for i, line in enumerate(lines) if "FileScan parquet [l_" in line]
+    assert scans
+    for scan in scans:
+        depth = lines[scan].index("FileScan")
+        above = []
+        for line in reversed(lines[:scan]):
+            start = len(line) - len(line.lstrip(" :+-"))
+            if start < depth:
+                above.append(line.lstrip(" :+-"))
+                depth = start
+        names = [re.match(r"\w+", line)[0] for line in above]
+        semi = names.index("BroadcastHashJoin")
+        assert set(names[:semi]) <= {"Filter", "Project", "ColumnarToRow"}
+        assert "wanted_place" in above[semi] and "LeftSemi" in above[semi]
+        grouped = next(line for line in above[semi:] if line.startswith("HashAggregate"))
+        assert "keys=[outlet_id" in grouped and "article_id" in grouped
+    assert plan.count("BroadcastHashJoin") == len(scans)
+
+
+def test_a_filter_too_full_still_gives_all(domain, monkeypatch):
+    """Articles that share a place with a wanted one pass the filter and end at the join."""
+    wanted = rows(offers.top_switch(domain, q.LAB, q.AS_OF, q.START, q.END))
+    monkeypatch.setattr(joins, "PLACES", 3)
+    assert rows(offers.top_switch(domain, q.LAB, q.AS_OF, q.START, q.END)) == wanted
+
+
+def test_a_hot_article_weighs_as_many_rows_as_there_are_outlets(spark):
+    """A third of all lines on one article: what is shuffled is a row per task, outlet and article."""
+    lines = spark.range(0, 200_000, 1, 8).select(
+        (F.col("id") % 20).alias("outlet_id"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5_000).cast("bigint").alias("article_id"),
+        F.lit(1).cast("bigint").alias("qty"),
+    )
+    items = spark.range(5_000).select(F.col("id").alias("article_id"))
+    cells = joins.sell(lines, items)
+    assert cells.where("article_id = 7").count() == 20
+    sizes = [r["count"] for r in cells.repartition(4, "article_id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
 
 
 def test_period_reaches_the_files(spark, capsys):
