@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import add
 
@@ -62,6 +62,45 @@ def molecule_items(
     )
 
 
+def card_sums(
+    rules: Rules, is_focus: Column, qty: Column, cents: Column, suffix: str = "", summed: Callable[[Column], Column] = F.sum
+) -> list[Column]:
+    """A sum for each rule, side and measure, by column sort_order."""
+    sides = {"focus": is_focus, "other": ~is_focus}
+    measures = {"qty": qty, "cents": cents}
+    return [
+        summed(F.when((F.col("sort_order") == rule.sort_order) & on_side, amount)).alias(f"{side}_{measure}_{rule.sort_order}{suffix}")
+        for rule in rules
+        for side, on_side in sides.items()
+        for measure, amount in measures.items()
+    ]
+
+
+def card_rows(rules: Rules, suffix: str = "") -> Column:
+    """The rows of an outlet as an array, from the sums of `card_sums`: one per rule, sold or not, and the total."""
+    if len({rule.sort_order for rule in rules}) < len(rules):
+        raise ValueError("two rules with the same sort order")
+
+    def amount(name: str, orders: Sequence[int]) -> Column:
+        return reduce(add, [F.coalesce(f"{name}_{order}{suffix}", F.lit(0).cast("bigint")) for order in orders])
+
+    def row(display: str, orders: Sequence[int], sort_order: int, is_total: bool) -> Column:
+        focus, other = from_cents(amount("focus_cents", orders)), from_cents(amount("other_cents", orders))
+        return F.struct(
+            F.lit(sort_order).alias("sort_order"),
+            F.lit(display).alias("molecule"),
+            amount("focus_qty", orders).alias("focus_qty"),
+            amount("other_qty", orders).alias("other_qty"),
+            focus.alias("focus_value"),
+            other.alias("other_value"),
+            share_percent(focus, focus + other).alias("share"),
+            F.lit(is_total).alias("is_total"),
+        )
+
+    rows = [row(rule.display, [rule.sort_order], rule.sort_order, False) for rule in rules]
+    return F.array(*rows, row(TOTAL_NAME, [rule.sort_order for rule in rules], TOTAL_SORT, True))
+
+
 def molecule_scorecard(
     domain: Domain,
     focus_lab: str,
@@ -80,49 +119,13 @@ def molecule_scorecard(
     rules = sorted(rules)
     items = molecule_items(domain, focus_lab, rules, prefixes) if items is None else items
     sold = sell(in_period(domain.collection, start, end), items)
-    if len({rule.sort_order for rule in rules}) < len(rules):
-        raise ValueError("two rules with the same sort order")
-    sides = {"focus": F.col("is_focus"), "other": ~F.col("is_focus")}
-    measures = {"qty": F.col("qty"), "cents": F.col("qty") * F.col("price_cents")}
-    sums = [
-        F.sum(F.when((F.col("sort_order") == rule.sort_order) & on_side, amount)).alias(f"{side}_{measure}_{rule.sort_order}")
-        for rule in rules
-        for side, on_side in sides.items()
-        for measure, amount in measures.items()
-    ]
-
-    def amount(name: str, orders: Sequence[int]) -> Column:
-        return reduce(add, [F.coalesce(f"{name}_{order}", F.lit(0).cast("bigint")) for order in orders])
-
-    def card_row(display: str, orders: Sequence[int], sort_order: int, is_total: bool) -> Column:
-        return F.struct(
-            F.lit(display).alias("molecule"),
-            amount("focus_qty", orders).alias("focus_qty"),
-            amount("other_qty", orders).alias("other_qty"),
-            amount("focus_cents", orders).alias("focus_cents"),
-            amount("other_cents", orders).alias("other_cents"),
-            F.lit(is_total).alias("is_total"),
-            F.lit(sort_order).alias("sort_order"),
-        )
-
-    rows = [card_row(rule.display, [rule.sort_order], rule.sort_order, False) for rule in rules]
-    rows.append(card_row(TOTAL_NAME, [rule.sort_order for rule in rules], TOTAL_SORT, True))
-    focus, other = from_cents(F.col("focus_cents")), from_cents(F.col("other_cents"))
+    sums = card_sums(rules, F.col("is_focus"), F.col("qty"), F.col("qty") * F.col("price_cents"))
+    columns = ("molecule", "focus_qty", "other_qty", "focus_value", "other_value", "share", "is_total", "sort_order")
     return (
         domain.outlet.select("outlet_id")
         .join(sold.groupBy("outlet_id").agg(*sums), "outlet_id", "left")
-        .select("outlet_id", F.inline(F.array(*rows)))
-        .select(
-            "outlet_id",
-            "molecule",
-            "focus_qty",
-            "other_qty",
-            focus.alias("focus_value"),
-            other.alias("other_value"),
-            share_percent(focus, focus + other).alias("share"),
-            "is_total",
-            "sort_order",
-        )
+        .select("outlet_id", F.inline(card_rows(rules)))
+        .select("outlet_id", *columns)
     )
 
 

@@ -301,7 +301,7 @@ def report_flat(spark, directory):
 
 def report_totals(spark, directory):
     report = report_dataset(spark, directory)
-    return report.select(*[f.name for f in report.schema.fields if f.dataType.typeName() != "array"])
+    return report.select(*[f.name for f in report.schema.fields if f.dataType.typeName() not in ("array", "boolean")])
 
 
 def run_status(spark, directory):

@@ -10,21 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outletscope import constants as C
-from outletscope.functions.numbers import share_fits
+from outletscope.functions.numbers import from_cents, money_ratio, share_fits
 from outletscope.functions.periods import month_label, since, trailing_months
-from outletscope.operators.joins import in_period
-from outletscope.operators.launches import launch_scorecard
-from outletscope.operators.molecules import gap_columns, molecule_items, molecule_scorecard
-from outletscope.operators.offers import (
-    margin_total,
-    originator_items,
-    switch_items,
-    top_originator,
-    top_switch,
-)
-from outletscope.operators.outlets import eligible_outlets, outlet_labels
+from outletscope.operators.figures import Months, outlet_figures, with_launches
+from outletscope.operators.molecules import card_rows, gap_columns
+from outletscope.operators.outlets import complete_outlets, contacts, outlet_labels
 from outletscope.sources.domain import Domain
-from outletscope.sources.tables import read_monthly_sales, stored, write_monthly_sales
+from outletscope.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -43,44 +35,61 @@ class ReportParams:
     prefixes: Sequence[str] = C.GROUP_PREFIXES
 
 
-def nested(table: DataFrame, name: str, position: str) -> DataFrame:
-    """The rows of each outlet as one array in display order; every table is short by its own definition."""
-    columns = [position] + [c for c in table.columns if c not in ("outlet_id", position)]
-    rows = F.sort_array(F.collect_list(F.struct(*columns)))
-    return table.groupBy("outlet_id").agg(rows.alias(name))
-
-
 def total_gaps(molecules: str, targets: Sequence[float], suffix: str = "") -> list[Column]:
     """Gap columns out of the total row of a nested molecule table."""
     total = F.filter(molecules, lambda row: row["is_total"])[0]
     return gap_columns(total["share"], total["focus_value"], total["other_value"], targets, suffix)
 
 
-def report_start(params: ReportParams) -> tuple[int, int, int]:
-    """First trailing month, first month of the longer window, last month."""
+def report_months(params: ReportParams) -> Months:
     trailing_start, end = trailing_months(params.period, params.months)
-    return trailing_start, since(params.since_period, end)[0], end
-
+    return Months(params.period, trailing_start, since(params.since_period, end)[0])
 
-def stored_facts(domain: Domain, sales_start: int, collection_start: int, end: int, folder: str) -> Domain:
-    """The domain over monthly facts stored in the folder; where both facts are one table it is stored once."""
 
-    def fact(sales: DataFrame, start: int, name: str) -> DataFrame:
-        write_monthly_sales(in_period(sales, start, end), f"{folder}/{name}")
-        return read_monthly_sales(sales.sparkSession, f"{folder}/{name}")
-
-    if domain.collection.sameSemantics(domain.sales):
-        both = fact(domain.sales, min(sales_start, collection_start), "sales")
-        return domain.replaced(sales=both, collection=both)
-    return domain.replaced(
-        sales=fact(domain.sales, sales_start, "sales"),
-        collection=fact(domain.collection, collection_start, "collection"),
-    )
+def candidates(domain: Domain, params: ReportParams, wanted: DataFrame | None = None) -> DataFrame:
+    """Outlets that qualify by all but their sales: complete in the month, in the group, wanted."""
+    members = domain.outlet_group.filter(F.col("group_no") == params.group_no).select("outlet_id")
+    found = complete_outlets(domain, params.period).filter(F.col("outlet_id") > C.MIN_OUTLET_ID)
+    found = found.join(members, "outlet_id", "left_semi")
+    return found if wanted is None else found.join(wanted, "outlet_id", "left_semi")
 
 
-def reported_outlets(domain: Domain, params: ReportParams, wanted: DataFrame | None = None) -> DataFrame:
+def figures_of(domain: Domain, params: ReportParams, outlets: DataFrame) -> DataFrame:
+    """The figures of some outlets, from one pass over the sales."""
     p = params
-    return eligible_outlets(domain, p.focus_lab, p.period, p.group_no, p.min_share, wanted=wanted)
+    return outlet_figures(domain.for_outlets(outlets), report_months(p), p.focus_lab, p.as_of, p.rules, p.prefixes)
+
+
+def qualified(figures: DataFrame, params: ReportParams) -> DataFrame:
+    share = money_ratio(F.col("offer_focus_cents"), F.col("offer_month_cents"))
+    return figures.filter(F.col("sold_focus") & (share >= params.min_share))
+
+
+def completed(figures: DataFrame, domain: Domain, params: ReportParams) -> DataFrame:
+    """Label, totals and molecule tables of outlets; a known outlet without sales has zeros, an unknown one nothing."""
+    known = outlet_labels(domain).withColumn("known", F.lit(True))
+    rows = figures.join(known, "outlet_id", "left")
+    zero = F.lit(0).cast("bigint")
+    cents = {name: F.coalesce(f"{name}_month_cents", zero) for name in ("switch", "originator")}
+    both = F.try_add(cents["switch"], cents["originator"])
+    fault = F.coalesce("fault", F.lit(False))
+
+    def money(amount: Column) -> Column:
+        return F.when(F.col("known") & ~fault, from_cents(amount))
+
+    def card(suffix: str) -> Column:
+        return F.when(F.col("known") & ~fault, card_rows(sorted(params.rules), suffix))
+
+    return rows.withColumns(
+        {
+            "fault": fault,
+            "switch_total": money(cents["switch"]),
+            "originator_total": money(cents["originator"]),
+            "margin": money(both),
+            "molecules": card(""),
+            "molecules_since": card("_since"),
+        }
+    )
 
 
 def report_dataset(
@@ -88,45 +97,37 @@ def report_dataset(
 ) -> DataFrame:
     """One row per eligible outlet and contact with all the report shows.
 
-    Nothing runs until the result is used. With a ``folder`` that all executors share, new and the caller's to remove,
-    the eligible outlets, their monthly sales and the catalogues are stored there first, and every table of the report
-    reads those. The number of jobs does not depend on the number of outlets.
+    Nothing runs until the result is used, and then the sales are read once. With a ``folder`` that all executors share,
+    new and the caller's to remove, the outlets' figures are stored there first. The number of jobs does not depend on
+    the number of outlets.
     """
     p = params
-    trailing_start, since_start, end = report_start(p)
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        return stored(df, f"{folder}/{name}") if folder else df
-
-    eligible = kept(reported_outlets(domain, p, wanted), "eligible")
-    own = domain.for_outlets(eligible)
+    figures = qualified(figures_of(domain, p, candidates(domain, p, wanted)), p)
     if folder:
-        own = stored_facts(own, trailing_start, since_start, end, folder)
-    switch = kept(switch_items(domain, p.focus_lab, p.as_of), "switch-items")
-    originator = kept(originator_items(domain, p.focus_lab, p.as_of), "originator-items")
-    scored = kept(molecule_items(domain, p.focus_lab, p.rules, p.prefixes), "molecule-items")
-
-    def molecules(start: int, name: str) -> DataFrame:
-        card = molecule_scorecard(own, p.focus_lab, start, end, p.rules, p.prefixes, items=scored)
-        return nested(card, name, "sort_order")
-
-    month = (own, p.focus_lab, p.as_of, p.period)
-    tables = [
-        outlet_labels(own),
-        margin_total(*month, switch=switch, originator=originator),
-        nested(top_switch(*month, items=switch), "top_switch", "rank"),
-        nested(top_originator(*month, items=originator), "top_originator", "rank"),
-        nested(launch_scorecard(own, p.focus_lab, trailing_start, end), "launches", "rank"),
-        molecules(p.period, "molecules"),
-        molecules(since_start, "molecules_since"),
-    ]
-    report = eligible.select(
-        "outlet_id", "code", "mail", F.lit(p.period).alias("period"), month_label(F.lit(p.period)).alias("month")
-    )
-    for table in tables:
-        report = report.join(table, "outlet_id", "left")
-    return report.select(
-        "*", *total_gaps("molecules", p.targets), *total_gaps("molecules_since", p.targets, "_since")
+        figures = stored(figures, f"{folder}/figures")
+    rows = completed(with_launches(figures, domain), domain, p).join(contacts(domain), "outlet_id", "left")
+
+    def table(name: str) -> Column:
+        return F.when(F.size(name) > 0, F.col(name)).alias(name)
+
+    return rows.select(
+        "outlet_id",
+        "code",
+        "mail",
+        F.lit(p.period).alias("period"),
+        month_label(F.lit(p.period)).alias("month"),
+        "label",
+        "switch_total",
+        "originator_total",
+        "margin",
+        table("top_switch"),
+        table("top_originator"),
+        F.when(F.col("known"), F.col("launches")).alias("launches"),
+        "molecules",
+        "molecules_since",
+        *total_gaps("molecules", p.targets),
+        *total_gaps("molecules_since", p.targets, "_since"),
+        "fault",
     )
 
 
@@ -162,31 +163,31 @@ def report_rows(report: DataFrame) -> DataFrame:
     return report.select("outlet_id", "period", F.inline(F.concat(*[section(name) for name in SECTIONS])))
 
 
-def status_inputs(domain: Domain, params: ReportParams, contacts: DataFrame | None = None) -> DataFrame:
+def status_inputs(domain: Domain, params: ReportParams, asked: DataFrame | None = None) -> DataFrame:
     """What the status of a report follows from: contact, label, total and share of each outlet of the run.
 
-    ``contacts``: outlets and their mail, if not the eligible ones.
+    ``asked``: outlets and their mail, if not the eligible ones.
     """
     p = params
-    asked = reported_outlets(domain, p) if contacts is None else contacts
-    eligible = asked.select("outlet_id", "mail", F.lit(p.period).alias("period"))
-    own = domain.for_outlets(eligible)
-    card = molecule_scorecard(own, p.focus_lab, p.period, None, p.rules, p.prefixes)
-    tables = [
-        outlet_labels(own),
-        margin_total(own, p.focus_lab, p.as_of, p.period),
-        card.filter("is_total").select("outlet_id", F.col("share").alias("total_share")),
-    ]
-    for table in tables:
-        eligible = eligible.join(table, "outlet_id", "left")
-    return eligible
+    if asked is None:
+        figures = qualified(figures_of(domain, p, candidates(domain, p)), p)
+        asked = contacts(domain).select("outlet_id", "mail")
+        rows = figures.join(asked, "outlet_id", "left")
+    else:
+        rows = asked.join(figures_of(domain, p, asked), "outlet_id", "left")
+    share = F.filter("molecules", lambda row: row["is_total"])[0]["share"]
+    found = completed(rows, domain, p)
+    period = F.lit(p.period).alias("period")
+    return found.select("outlet_id", "mail", period, "label", "switch_total", "originator_total", "margin", share.alias("total_share"), "fault")
 
 
 def run_status(report: DataFrame) -> DataFrame:
     """Whether each report can be sent: OK, or the first thing it lacks. An outlet's fault stays its own."""
+    fault = F.col("fault") if "fault" in report.columns else F.lit(False)
     reason = (
         F.when(F.col("label").isNull(), "outlet not found")
         .when(F.col("mail").isNull(), "no mail address")
+        .when(fault, "amount out of range")
         .when(F.col("margin").isNull(), "totals missing")
         .when(~share_fits(F.col("total_share")), "share out of range")
     )

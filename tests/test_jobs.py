@@ -295,6 +295,22 @@ def test_status_and_summary(spark):
     ]
 
 
+@pytest.mark.parametrize("name", ["report_totals", "run_status"])
+def test_the_report_reads_the_fact_once(spark, name):
+    plan = q.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [l_") == 1
+
+
+def test_an_amount_beyond_a_long_stays_with_its_outlet(spark):
+    month = star.load_star(spark, DIR, q.MONTH, q.MONTH)
+    huge = F.when(F.col("outlet_id") == 3, F.lit(2**62)).otherwise(F.col("qty"))
+    domain = month.replaced(sales=month.sales.withColumn("qty", huge), collection=month.collection.withColumn("qty", huge))
+    asked = spark.createDataFrame([(2, "a@b"), (3, "c@d"), (4, "e@f")], "outlet_id BIGINT, mail STRING")
+    found, plain = (reports.status_inputs(d, q.REPORT, asked) for d in (domain, month))
+    assert rows(reports.run_status(found), "outlet_id", "status") == [(2, "OK"), (3, "ERREUR: amount out of range"), (4, "OK")]
+    assert rows(found.filter("outlet_id <> 3")) == rows(plain.filter("outlet_id <> 3"))
+
+
 def test_returns_do_not_stop_other_outlets(spark):
     """Nearly all sales returned: the share is far out of range, and only that outlet's."""
     money = spark.createDataFrame([(D("1000000.00"), D("0.01")), (D("1.00"), D("4.00"))], "focus DECIMAL(20,2), whole DECIMAL(20,2)")
