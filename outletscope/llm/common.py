@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; one of our own where it is unset and all runs on this machine."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -69,13 +72,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def packed_rows(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns to keep (all, if not said) as struct `row`; text beside it only where it isn't in there as a string."""
+def packed_rows(docs: DataFrame, keep: list[str] | None = None, beside: list[str] = []) -> DataFrame:
+    """The columns to keep (all, if not said) as struct `row`, others beside it; text beside it only where it isn't in
+    there as a string."""
     kept = docs.columns if keep is None else keep
     row = F.struct(*[F.col(quoted(c)) for c in kept]).alias("row")
     if "text" in kept and docs.schema["text"].dataType == StringType():
-        return docs.select(row)
-    return docs.select(row, F.col("text").cast("string").alias("text"))
+        return docs.select(row, *beside)
+    return docs.select(row, *beside, F.col("text").cast("string").alias("text"))
 
 
 def row_schema(rows: DataFrame, more: str) -> StructType:

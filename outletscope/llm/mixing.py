@@ -1,13 +1,17 @@
 """Mixing to target weights with soft membership.
 
 A softmax classifier learned from a labelled table gives every document a posterior over domains. A document's rate r
-says how often it is read; the expected tokens of domain k are sum(r * tokens * posterior_k). Sought are the rates of
-least squared distance of the totals from the targets and, among such, those nearest the rates at the start, in squares
-weighted by tokens. With a small weight eps on that second part the solution is max(floor, start - p.push), one number
-of push for each domain, found by Newton steps on the dual problem, which is convex; eps is lowered until the targets
-are met or a lower bound of the distance, from the same dual problem, shows that none can be nearer. A rate depends on
-the posterior alone, so long documents aren't moved more than short ones. Each step is one aggregation over token counts
-and posteriors, of several step lengths at once; only sums, domains x domains numbers for each length, reach the driver.
+says how often it is read; the expected tokens of domain k are sum(r * tokens * posterior_k). Sought are the rates, not
+below a floor, of least squared distance of the totals from the targets, by projected gradient: where distances between
+rates are weighted by tokens, a step takes posterior . gap / L off a rate, L the largest eigenvalue of
+sum(tokens * p p'), and cuts it at the floor. Steps are accelerated, and the acceleration begins anew where it leads
+uphill. A rate follows from its posterior and the steps so far, so a step is one aggregation over token counts and
+posteriors; only the totals, a number per domain, reach the driver. The steps end when the targets are met, or when a
+lower bound of the distance (from the gap itself, by duality) shows that no rates come nearer.
+
+Where posteriors are so soft, or the floor so binding, that this takes more than PASSES steps, Newton steps go on from the
+start on the dual problem: rates of the form max(floor, start - p.push), one number of push for each domain, with a
+small weight eps on the distance from the start that is lowered until the same measure holds.
 
 Training: at most TRAIN_ROWS labelled documents of the table, chosen by a hash of their id, as BUCKETS + SHAPES numbers each.
 
@@ -28,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from outletscope.llm.common import checkpointed, present, sampled, slices
 from outletscope.llm.ngrams import ngram_rows
@@ -35,7 +40,8 @@ from outletscope.llm.ngrams import ngram_rows
 TRAIN_ROWS = 4_000
 ORDER, BITS = 2, 9
 BUCKETS, SHAPES = 1 << BITS, 5
-STEPS, TOLERANCE = 100, 1e-4
+#: Steps of projected gradient, then of Newton; the gap that counts as none.
+PASSES, STEPS, TOLERANCE = 40, 100, 1e-4
 #: Lengths of a step that are tried at once; the weight of the distance from the start at first, its divisor, its least.
 LENGTHS = 8.0 ** -np.arange(8)
 EPS, LOWER, LEAST_EPS = 1e-2, 100.0, 1e-14
@@ -109,17 +115,18 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, tokens and p_0, p_1, ... (a column per domain) of every row."""
+    """doc_id, text_key, tokens and p_0, p_1, ... (a column per domain) of every row."""
     names = [f"p_{i}" for i in range(len(model.domains))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=AT_ONCE):
             rows, tokens = features([t or "" for t in batch.column("text").to_pylist()])
             found = model.posteriors(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), *map(pa.array, found.T.copy())], ["doc_id", "tokens", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(tokens), *map(pa.array, found.T.copy())], ["doc_id", "text_key", "tokens", *names])
 
-    read = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"{n} double" for n in names))
+    text = F.col("text").cast("string")
+    read = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return read.mapInArrow(run, "doc_id long, text_key long, tokens long, " + ", ".join(f"{n} double" for n in names))
 
 
 def dotted(columns: list[str], values: list[float]) -> Column:
@@ -129,7 +136,75 @@ def dotted(columns: list[str], values: list[float]) -> Column:
     return out
 
 
-def rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+@dataclass
+class Descent:
+    """Accelerated projected-gradient steps: what each takes off a posterior's rate, and its momentum."""
+
+    floor: float
+    start: float
+    steps: list[tuple[np.ndarray, float]]
+
+    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of posteriors: the rates, those of the step before, and the point the last step went out from."""
+        now = before = ahead = point = np.full(len(p), self.start)
+        for push, momentum in self.steps:
+            point, before, now = ahead, now, np.maximum(self.floor, ahead - p @ push)
+            ahead = now + momentum * (now - before)
+        return now, before, point
+
+    def measured(self, members: DataFrame, names: list[str], wanted: float, gap: np.ndarray) -> tuple[np.ndarray, float, float, np.ndarray]:
+        """The domain totals in units of wanted; how far the last step led uphill; the least product of a posterior with
+        gap; and sum(tokens * p p')."""
+        k = len(names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, least = np.zeros(k + 1 + k * k), np.inf
+            for batch in batches:
+                tokens, p = _told(batch, names, wanted)
+                if not len(tokens):
+                    continue
+                now, before, point = self.rates(p)
+                sums[:k] += (tokens * now) @ p
+                sums[k] += tokens @ ((point - now) * (now - before))
+                sums[k + 1 :] += ((p * tokens[:, None]).T @ p).ravel()
+                least = min(least, float((p @ gap).min()))
+            values = np.append(sums, least)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
+
+        out = _gathered(members.select("tokens", *names).mapInArrow(run, "place long, value double"), 1, k + 2 + k * k)[0]
+        return out[:k], float(out[k]), float(out[-1]), out[k + 1 : -1].reshape(k, k)
+
+    def applied(self, members: DataFrame, names: list[str]) -> DataFrame:
+        """members with their rate."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(self.rates(p)[0])], [*batch.schema.names, "rate"])
+
+        return members.mapInArrow(run, StructType([*members.schema.fields, StructField("rate", DoubleType())]))
+
+
+def _told(batch: pa.RecordBatch, names: list[str], wanted: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens, in units of wanted, and posteriors of the rows that have tokens."""
+    tokens = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float) / wanted
+    p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+    return tokens[tokens > 0], p[tokens > 0]
+
+
+def _gathered(parts: DataFrame, n: int, width: int) -> np.ndarray:
+    """Values by place, n rows of so many: sums, and the least in the last column."""
+    out = np.zeros((n, width))
+    for row in parts.groupBy("place").agg(F.sum("value").alias("total"), F.min("value").alias("least")).collect():  # n * width rows
+        i, j = divmod(row.place, width)
+        out[i, j] = row.total if j < width - 1 else row.least
+    out[np.isinf(out)] = 0
+    return out
+
+
+def rates(
+    members: DataFrame, targets: list[float], floor: float = 0.0, passes: int = PASSES, steps: int = STEPS, tolerance: float = TOLERANCE
+) -> DataFrame:
     """members (tokens and p_0, p_1, ..., which sum to 1) with rate, at least floor, of the domain totals nearest the targets.
 
     Ends when no total is off by more than tolerance of all tokens wanted, or when the totals' distance from the targets
@@ -140,6 +215,35 @@ def rates(members: DataFrame, targets: list[float], floor: float = 0.0, steps: i
     names = [f"p_{i}" for i in range(len(targets))]
     wanted = max(float(sum(targets)), 1e-12)
     goal = np.array(targets, dtype=float) / wanted
+    found = Descent(floor, max(1.0, floor), [])
+    totals, _, _, metric = found.measured(members, names, wanted, np.zeros(len(names)))
+    largest = max(float(np.linalg.eigvalsh(metric)[-1]), 1e-300) if len(names) else 1.0
+    have, weight, bound, ahead = totals / found.start, 1.0, 0.0, totals
+    for _ in range(passes):
+        if np.abs(totals - goal).max(initial=0) <= tolerance:
+            return found.applied(members, names)
+        gap = totals - goal
+        found.steps.append(((ahead - goal) / largest, 0.0))
+        before, (totals, uphill, low, _) = totals, found.measured(members, names, wanted, gap)
+        # no posterior's product with v is negative, so rates of at least floor leave at least this distance
+        v = gap + max(0.0, -low)
+        bound = max(bound, float((floor * have - goal) @ v) / max(float(np.linalg.norm(v)), 1e-300))
+        if np.linalg.norm(gap) - bound <= tolerance:
+            found.steps.pop()
+            return found.applied(members, names)
+        weight = 1.0 if uphill > 0 else weight
+        following = (1 + (1 + 4 * weight * weight) ** 0.5) / 2
+        momentum, weight = (weight - 1) / following, following
+        found.steps[-1] = (found.steps[-1][0], momentum)
+        ahead = totals + momentum * (totals - before)
+    return _newton(members, targets, floor, steps, tolerance)
+
+
+def _newton(members: DataFrame, targets: list[float], floor: float, steps: int, tolerance: float) -> DataFrame:
+    """The same by Newton steps on the dual problem."""
+    names = [f"p_{i}" for i in range(len(targets))]
+    wanted = max(float(sum(targets)), 1e-12)
+    goal = np.array(targets, dtype=float) / wanted
     start = max(1.0, floor)
     push, eps, bound = np.zeros(len(names)), EPS, 0.0
     (totals, value, low, free), *_ = _states(members, names, push[None], floor, start, wanted)
@@ -183,9 +287,7 @@ def _states(members: DataFrame, names: list[str], pushes: np.ndarray, floor: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, least = np.zeros((n, k + 1 + k * k)), np.full(n, np.inf)
         for batch in batches:
-            tokens = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float) / wanted
-            p = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])[tokens > 0]
-            tokens = tokens[tokens > 0]
+            tokens, p = _told(batch, names, wanted)
             if not len(tokens):
                 continue
             product = p @ pushes.T
@@ -201,12 +303,7 @@ def _states(members: DataFrame, names: list[str], pushes: np.ndarray, floor: flo
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["place", "value"])
 
     parts = members.select("tokens", *names).mapInArrow(run, "place long, value double")
-    width = k + 2 + k * k
-    out = np.zeros((n, width))
-    for row in parts.groupBy("place").agg(F.sum("value").alias("total"), F.min("value").alias("least")).collect():  # n * width rows
-        i, j = divmod(row.place, width)
-        out[i, j] = row.total if j < width - 1 else row.least
-    out[np.isinf(out)] = 0
+    out = _gathered(parts, n, k + 2 + k * k)
     return [(r[:k], r[k], r[-1], r[k + 1 : -1].reshape(k, k)) for r in out]
 
 
@@ -218,7 +315,8 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], floor: float = 0.0, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, tokens, p_0, p_1, ... (domains in the order of weights), rate and copies of every row.
+    """doc_id, text_key (a hash of the text), tokens, p_0, p_1, ... (domains in the order of weights), rate and copies of
+    every row.
 
     The targets share out the fewest tokens, at least the table's own, that let no domain's target fall below floor
     times its present tokens.

@@ -22,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.when(F.col("quality") > 0, "high").when(F.col("quality") <= 0, "low")
     marks = table(spark, sf_dir, "labels").join(documents.select("doc_id", "lang"), "doc_id")
     found = mixing.mixed(documents, marks.select("doc_id", F.concat_ws("_", "lang", quality).alias("domain")), MIX)
-    return found.withColumnsRenamed({f"p_{i}": f"p_{name}" for i, name in enumerate(MIX)})
+    return found.drop("text_key").withColumnsRenamed({f"p_{i}": f"p_{name}" for i, name in enumerate(MIX)})
 
 
 def op2_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
