@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from outletscope.llm.common import checkpointed, partitions_of, slices
+from outletscope.llm.common import checkpointed, column_of, packed_rows, partitions_of, row_schema, slices
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -203,17 +203,18 @@ def kept_text(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Every row of docs as struct `row`, with kept (its text without the dropped lines), n_lines and n_dropped."""
     bitmaps = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "kept_id", "text_id": "kept_text_id"})
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"), text.alias("text"), F.xxhash64(text).alias("own_text_id"))
-    joined = rows.join(bitmaps, (F.col("own_id") == F.col("kept_id")) & (F.col("own_text_id") == F.col("kept_text_id")), "left")
+    # the text travels once, inside of its row
+    marked = docs.withColumns({"_own_id": F.col("doc_id"), "_own_text_id": F.xxhash64(F.col("text").cast("string"))})
+    rows = packed_rows(marked, docs.columns, ["_own_id", "_own_text_id"])
+    joined = rows.join(bitmaps, (F.col("_own_id") == F.col("kept_id")) & (F.col("_own_text_id") == F.col("kept_text_id")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [kept_text(t.as_py(), k.as_py()) for t, k in zip(batch.column("text"), batch.column("keep"))]
+            found = [kept_text(t.as_py(), k.as_py()) for t, k in zip(column_of(batch), batch.column("keep"))]
             kept, lines, dropped = zip(*found) if found else ([], [], [])
             columns = [batch.column("row"), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "kept", "n_lines", "n_dropped"])
 
-    selected = joined.select("row", "text", "keep")
-    schema = f"row {selected.schema['row'].dataType.simpleString()}, kept string, n_lines long, n_dropped long"
-    return selected.mapInArrow(run, schema)
+    texts = [c for c in ("text",) if c in rows.columns]
+    selected = joined.select("row", *texts, "keep")
+    return selected.mapInArrow(run, row_schema(rows, "kept string, n_lines long, n_dropped long"))
