@@ -31,12 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outletscope.llm.common import checkpointed, held_out, present, sampled, slices
+from outletscope.llm.common import checkpointed, column_of, held_out, packed_rows, present, row_schema, sampled, slices
 
 THRESHOLD = 0.3
 TRAIN_ROWS = 15_000
-#: Most terms of the lexicon, and exceptions.
-TERMS, EXCEPTIONS = 300, 300
 SHORTEST, LONGEST = 4, 10
 #: Least documents of a term or exception, a term's least log odds, terms that explain a toxic document.
 SUPPORT, LEAST_WEIGHT, EXPLAIN = 3, 1.2, 12
@@ -272,7 +270,7 @@ def _chosen(weights: dict[str, float], other: dict[str, int], rows: list[list[st
     bound = _bound(number)
     missing = [EXPLAIN] * len(rows)
     out: list[str] = []
-    while len(out) < TERMS and holds:
+    while holds:
         found = {t: _evidence(len(s), other[t], chance) for t, s in holds.items()}
         best = max(found, key=lambda t: (found[t], t))
         if found[best] < bound:
@@ -354,20 +352,20 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, shares: dict[str, float]) -
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())
                 for phrase in phrases(lexicon, folded(text))
             ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p for p, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.int64())], ["phrase", "toxic"]
-            )
+            held = {p: max((share for term, share in shares.items() if term in p), default=0.0) for p in {p for p, _ in pairs}}
+            columns = [
+                pa.array([p for p, _ in pairs], pa.string()),
+                pa.array([t for _, t in pairs], pa.int64()),
+                pa.array([held[p] for p, _ in pairs], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["phrase", "toxic", "share"])
 
-    counted = sample.mapInArrow(found, "phrase string, toxic long").groupBy("phrase").agg(
-        F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other")
+    counted = sample.mapInArrow(found, "phrase string, toxic long, share double").groupBy("phrase").agg(
+        F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"), F.max("share").alias("share")
     )
-    rows = counted.where((F.col("toxic") == 0) & (F.col("other") >= SUPPORT)).orderBy(F.desc("other"), "phrase")
-    out = set()
-    for row in rows.limit(EXCEPTIONS).collect():  # bounded by EXCEPTIONS
-        share = max((shares[t] for t in shares if t in row.phrase), default=0.0)
-        if row.other * -math.log(1 - share) >= EXCEPTION_EVIDENCE:
-            out.add(row.phrase)
-    return frozenset(out)
+    telling = F.col("other") * -F.log1p(-F.col("share")) >= EXCEPTION_EVIDENCE
+    rows = counted.where((F.col("toxic") == 0) & (F.col("other") >= SUPPORT) & telling).select("phrase")
+    return frozenset(r.phrase for r in rows.collect())  # phrases of the bounded sample, by their evidence
 
 
 def _fitted(sample: DataFrame, lexicon: Lexicon) -> Lexicon:
@@ -389,11 +387,11 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            scores = [lexicon.score(t) for t in batch.column("text").to_pylist()]
+            scores = [lexicon.score(t) for t in column_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
-    rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    rows = packed_rows(docs, keep)
+    return rows.mapInArrow(run, row_schema(rows, "score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: list[str] | None = None) -> DataFrame:
