@@ -309,17 +309,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 
 def first_of_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id and text_key of the rows that stand for their group: of each group of linked texts those of its smallest doc_id.
+    """doc_id and text_key of the text that stands for its group, a row per group: of the group's smallest doc_id.
 
-    Fingerprints are linked, not documents, so a doc_id with different texts does not join their groups.
+    Texts are linked, not documents, so a doc_id with different texts does not join their groups. A null doc_id comes
+    after all others; of texts of one doc_id the one with the smallest key stands.
     """
-    marked = checkpointed(fingerprints(docs, words).where("doc_id IS NOT NULL"))
-    nodes = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    marked = fingerprints(docs, words)
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
+    nodes = checkpointed(marked.groupBy("fingerprint").agg(place))
     found = components(links(nodes.select("fingerprint", F.col("fingerprint").alias("id")), radius))
-    grouped = nodes.join(found, nodes.fingerprint == found.node, "left").select(
-        "fingerprint", "doc_id", F.coalesce("component", "fingerprint").alias("group")
-    )
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("doc_id"))
-    # a fingerprint that the smallest doc_id of its group has is its own smallest doc_id's
-    first = grouped.join(least, ["group", "doc_id"], "left_semi").select("doc_id", "fingerprint")
-    return marked.join(first, ["doc_id", "fingerprint"], "left_semi").select("doc_id", "text_key").distinct()
+    grouped = nodes.join(found, nodes.fingerprint == found.node, "left")
+    first = grouped.groupBy(F.coalesce("component", "fingerprint")).agg(F.min("first").alias("first"))
+    return first.select("first.doc_id", "first.text_key")
