@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from outletscope.llm.common import partitions_of
+from outletscope.llm.common import checkpointed, partitions_of
 
 SCALE = 1024
 K = 10
@@ -199,20 +199,21 @@ def _blocks(size: int):
 
 
 def _searched(k: int, slices: int):
-    """The k best rows of a block for each query of a block; consecutive pairs share the index."""
+    """The k best rows of a block for each query; a block's row comes before the queries that are sent to it."""
 
-    def matrix(row: dict, side: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.frombuffer(row[f"{side}ids"], np.int64)
-        return ids, np.frombuffer(row[f"{side}vectors"], np.int64).reshape(len(ids), -1)
+    def matrix(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(row["ids"], np.int64)
+        return ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, block = None, None
+        index = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                if row["block"] != block:
-                    index, block = Index(*matrix(row, ""), slices), row["block"]
-                queries, vectors = matrix(row, "query_")
+                if not row["asks"]:
+                    index = Index(*matrix(row), slices)
+                    continue
+                queries, vectors = matrix(row)
                 found = [(q, *index.best(v, q, k)) for q, v in zip(queries.tolist(), vectors)]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -225,23 +226,25 @@ def _searched(k: int, slices: int):
     return run
 
 
+def packed(vectors: DataFrame, size: int) -> DataFrame:
+    """Blocks of distinct rows. Sorted first, so that a partition computed anew gives the same blocks."""
+    clean = vectors.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector").distinct()
+    return clean.sortWithinPartitions("id", "vector").mapInArrow(_blocks(size), "dim int, ids binary, vectors binary")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, slices: int = SLICES, rows: int = ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows.
 
     vectors and queries: id long and vector, whole numbers as array<long>. Every block of queries meets every block
-    of rows; blocks are a few MB, and a query's result of a block is k rows.
+    of rows: a block of rows, a few MB, is sent once, and the queries stream past it. A query's result of a block is k
+    rows. Blocks are written to the shared folder first, so their numbers outlive a lost executor.
     """
-    clean = lambda df: df.where("id IS NOT NULL AND vector IS NOT NULL").select("id", "vector").distinct()
-    layout = "dim int, ids binary, vectors binary"
-    blocks = clean(vectors).mapInArrow(_blocks(rows), layout).withColumn("block", F.monotonically_increasing_id())
-    asked = clean(queries).mapInArrow(_blocks(QUERIES), layout).select(
-        "dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")
-    )
-    # blocks of rows are dealt over the partitions, and every block of queries goes to each of them
-    spread = partitions_of(vectors)
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(spread)))
-    asked = asked.withColumn("part", F.explode(F.expr(f"sequence(0L, {spread - 1}L)")))
-    pairs = blocks.join(asked, ["dim", "part"]).sortWithinPartitions("block")
-    found = pairs.mapInArrow(_searched(k, slices), "query_id long, vec_id long, score long")
+    blocks = checkpointed(packed(vectors, rows).withColumn("block", F.monotonically_increasing_id()))
+    numbers = blocks.select("dim", "block")  # a row of 12 bytes for each block
+    asked = packed(queries, QUERIES).join(F.broadcast(numbers), "dim")
+    columns = ("block", "ids", "vectors")
+    met = blocks.select(*columns, F.lit(False).alias("asks")).union(asked.select(*columns, F.lit(True).alias("asks")))
+    dealt = met.repartition(partitions_of(vectors), "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(_searched(k, slices), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outletscope.llm import contamination, negatives, periodic, queries
+from outletscope.llm import contamination, negatives, periodic, queries, topk
 from outletscope.llm.common import slices
 from tests.llm.conftest import ODD, ODD_ITEMS, ODD_VECTORS
 
@@ -237,3 +237,16 @@ def test_segments_bound_the_scores():
 def test_slices_read_the_text_inside_of_a_row(documents):
     rows = documents().select(F.struct("doc_id", "text").alias("row"))
     assert sum(b.num_rows for b in slices(iter(rows.toArrow().to_batches()), chars=50)) == len(ODD)
+
+
+def test_blocks_do_not_depend_on_the_order_of_rows(spark):
+    """A partition that is read anew in another order gives the same blocks, and one block meets all queries."""
+    rows = [(i, [i % 7, -i]) for i in range(500)]
+    packs = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "id long, vector array<long>").repartition(3)
+        packs.append(sorted((r.dim, bytes(r.ids), bytes(r.vectors)) for r in topk.packed(frame, 64).collect()))
+    assert packs[0] == packs[1] and len(packs[0]) >= 8
+    frame = spark.createDataFrame(rows, "id long, vector array<long>")
+    plan = topk.top_k(frame, frame.where("id % 100 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("monotonically_increasing_id") == 0
