@@ -24,9 +24,12 @@ def month_index(key: Column) -> Column:
     return integer_div(key, F.lit(100)) * 12 + key % 100 - 1
 
 
+def month_of_index(index: Column) -> Column:
+    return (integer_div(index, F.lit(12)) * 100 + index % 12 + 1).cast("int")
+
+
 def shift_month(key: Column, months: int) -> Column:
-    moved = month_index(key) + months
-    return (integer_div(moved, F.lit(12)) * 100 + moved % 12 + 1).cast("int")
+    return month_of_index(month_index(key) + months)
 
 
 def previous_month(day: Column, overflow: bool = False) -> Column:
@@ -59,10 +62,13 @@ def next_business_day(day: Column, holidays: Iterable[date] = ()) -> Column:
     return F.filter(days, is_open)[0]
 
 
+def planned_day(key: Column, day: int = SEND_DAY) -> Column:
+    return F.make_date(integer_div(key, F.lit(100)).cast("int"), (key % 100).cast("int"), F.lit(day))
+
+
 def send_date(key: Column, day: int = SEND_DAY, holidays: Iterable[date] = ()) -> Column:
     """Send date of a month: the given day, rolled forward to a business day."""
-    planned = F.make_date(integer_div(key, F.lit(100)).cast("int"), (key % 100).cast("int"), F.lit(day))
-    return next_business_day(planned, holidays)
+    return next_business_day(planned_day(key, day), holidays)
 
 
 # --- job parameters ---------------------------------------------------------
@@ -99,6 +105,10 @@ def trailing_months(end: int, n: int = TRAILING_MONTHS) -> tuple[int, int]:
     return first // 12 * 100 + first % 12 + 1, end
 
 
+def index_of_month(key: int) -> int:
+    return key // 100 * 12 + key % 100 - 1
+
+
 def since(start: int, end: int) -> tuple[int, int]:
     if end < start:
         raise ValueError(f"invalid period: {end} is earlier than {start}")

@@ -25,16 +25,17 @@ def of_wanted(sales: DataFrame, items: DataFrame) -> DataFrame:
     return sales.join(F.broadcast(places), place(F.col("article_id")) == F.col("wanted_place"), "left_semi")
 
 
-def sell(sales: DataFrame, items: DataFrame) -> DataFrame:
-    """Sales of the catalogue's articles, summed to outlet and article, with the catalogue's rows.
+def sell(sales: DataFrame, items: DataFrame, *by: str) -> DataFrame:
+    """Sales of the catalogue's articles, summed to outlet and article (and further columns of the sales, such as the
+    month), with the catalogue's rows.
 
     One plan at every size. The fact is cut to the wanted articles where it is read; what is left is joined and summed
     in parts before it is shuffled on outlet and article, so a best-seller weighs as many rows as there are outlets. How
     the sums meet the catalogue is left to the optimizer. Every measure is linear in the quantity, so summing first
     changes nothing.
     """
-    kept = of_wanted(sales.select("outlet_id", "article_id", "qty"), items)
-    cells = kept.groupBy("outlet_id", "article_id").agg(F.sum("qty").alias("qty"))
+    kept = of_wanted(sales.select("outlet_id", "article_id", *by, "qty"), items)
+    cells = kept.groupBy("outlet_id", "article_id", *by).agg(F.sum("qty").alias("qty"))
     return cells.join(items, "article_id")
 
 

@@ -426,6 +426,70 @@ REPORT_TOTALS = f"""SELECT e.outlet_id, e.code, e.mail, {MONTH} AS period,
     JOIN ({gap_columns('card')}) g ON g.outlet_id = e.outlet_id
     JOIN ({gap_columns('card_since', '_since')}) h ON h.outlet_id = e.outlet_id"""
 
+# --- windows that end in each month -----------------------------------------------
+
+HOLIDAY = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE strftime(o_orderdate, '%m-%d') IN (" + ", ".join(
+    f"'{d:%m-%d}'" for d in HOLIDAYS_2025
+) + ")"
+
+
+def next_open(day: str) -> str:
+    """First day, of the sixty that start at ``day``, that is neither a weekend day nor in the holiday table."""
+    step = f"({day} + CAST(i AS INTEGER))"
+    return f"(SELECT CAST(min({step}) AS VARCHAR) FROM range(60) t(i) WHERE isodow({step}) < 6 AND {step} NOT IN (SELECT day FROM holiday))"
+
+
+SIX_MONTHS = "CASE WHEN w.period % 100 > 5 THEN w.period - 5 ELSE w.period - 100 + 7 END"
+
+
+def windows_cte(first: int) -> str:
+    return f"""ends AS (SELECT DISTINCT period FROM sales WHERE period BETWEEN {first} AND {END})"""
+
+
+LAUNCH_WINDOWS = f"""SELECT outlet_id, period, dci,
+        CAST(coalesce((focus * 10000 // nullif(total, 0)) / 100.0, 0) AS DOUBLE) AS share,
+        focus AS focus_qty, competitor AS competitor_qty, originator AS originator_qty
+    FROM (
+        SELECT s.outlet_id, w.period, d.dci,
+            CAST(sum(CASE WHEN a.maker_lab = {FOCUS} THEN qty ELSE 0 END) AS BIGINT) AS focus,
+            CAST(sum(CASE WHEN a.maker_lab <> {FOCUS} AND a.type IN ('G', 'A') THEN qty ELSE 0 END) AS BIGINT) AS competitor,
+            CAST(sum(CASE WHEN a.type IN ('G', 'A') THEN qty ELSE 0 END) AS BIGINT) AS total,
+            CAST(sum(CASE WHEN a.type = 'P' THEN qty ELSE 0 END) AS BIGINT) AS originator
+        FROM ends w
+        JOIN sales s ON s.period BETWEEN {SIX_MONTHS} AND w.period
+        JOIN article_group ag ON ag.article_id = s.article_id
+        JOIN dci d ON d.group_id = ag.group_id
+        JOIN article a ON a.article_id = s.article_id
+        WHERE s.article_id IN (SELECT article_id FROM ean WHERE ean IN (SELECT ean FROM launch_ean))
+        GROUP BY s.outlet_id, w.period, d.dci)"""
+
+
+def molecule_windows(start: str) -> str:
+    prefixes = " OR ".join(f"short_label ILIKE '{p}%'" for p in PREFIXES)
+    names = "CASE sort_order " + " ".join(f"WHEN {r.sort_order} THEN '{r.display}'" for r in RULES) + " ELSE 'TOTAL' END"
+    return f"""SELECT outlet_id, period, {names} AS molecule, CAST(focus_qty AS BIGINT) AS focus_qty,
+        CAST(other_qty AS BIGINT) AS other_qty, CAST(focus_value AS DOUBLE) AS focus_value, CAST(other_value AS DOUBLE) AS other_value,
+        CAST(CASE WHEN focus_value + other_value = 0 THEN 0 ELSE round(CAST(CAST(focus_value AS DOUBLE) * 100
+            / CAST(focus_value + other_value AS DOUBLE) AS DECIMAL(18,7)), 2) END AS DOUBLE) AS share,
+        CAST(sort_order AS INTEGER) AS sort_order
+    FROM (
+        SELECT s.outlet_id, w.period, coalesce(m.sort_order, 999) AS sort_order,
+            sum(CASE WHEN a.maker_lab = {FOCUS} THEN s.qty ELSE 0 END) AS focus_qty,
+            sum(CASE WHEN a.maker_lab <> {FOCUS} THEN s.qty ELSE 0 END) AS other_qty,
+            sum(CASE WHEN a.maker_lab = {FOCUS} THEN s.qty * coalesce(p.price, 0) ELSE 0 END) AS focus_value,
+            sum(CASE WHEN a.maker_lab <> {FOCUS} THEN s.qty * coalesce(p.price, 0) ELSE 0 END) AS other_value
+        FROM ends w
+        JOIN collection s ON s.period BETWEEN {start} AND w.period
+        JOIN article_group ag ON ag.article_id = s.article_id
+        JOIN (SELECT group_id, {MOLECULE} AS sort_order FROM dci) m ON m.group_id = ag.group_id
+        JOIN article a ON a.article_id = s.article_id
+        JOIN lab l ON l.lab = a.maker_lab
+        LEFT JOIN regulated_price p ON p.article_id = s.article_id AND p.active = 1
+        WHERE a.type IN ('R', 'B') AND m.sort_order IS NOT NULL
+            AND ag.group_id IN (SELECT group_id FROM link_group WHERE {prefixes})
+        GROUP BY GROUPING SETS ((s.outlet_id, w.period, m.sort_order), (s.outlet_id, w.period)))"""
+
+
 ORACLE: dict[str, str] = {
     "month_keys": f"""SELECT CAST(day AS VARCHAR) AS day, orders, {key_of(LAST_MONTH)} AS previous,
         {key_of(OVERFLOWN)} AS previous_overflow, {MONTH_LABEL.format(f'({key_of(LAST_MONTH)})')} AS label
@@ -438,6 +502,17 @@ ORACLE: dict[str, str] = {
         {roll_forward(planned(10))} AS send_date_10 FROM ({MONTHS})""",
     "business_days": f"""SELECT CAST(day AS VARCHAR) AS day, orders, {roll_forward('day')} AS business_day
         FROM ({DAYS})""",
+    "business_calendar": f"""WITH holiday AS ({HOLIDAY}), bounds AS (
+        SELECT min(CAST(o_orderdate AS DATE)) AS a, max(CAST(o_orderdate AS DATE)) AS z FROM orders),
+    days AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS day FROM bounds)
+    SELECT CAST(day AS VARCHAR) AS day, isodow(day) < 6 AND day NOT IN (SELECT day FROM holiday) AS is_open,
+        {next_open('day')} AS business_day FROM days""",
+    "calendar_send_dates": f"""WITH holiday AS ({HOLIDAY}), days AS (
+        SELECT period, orders, {planned(17)} AS day FROM ({MONTHS}))
+    SELECT period, orders, CAST(day AS VARCHAR) AS day, {next_open('day')} AS send_date FROM days""",
+    "launch_windows": query(LAUNCH_WINDOWS, windows_cte(START)),
+    "molecule_windows": query(molecule_windows(SIX_MONTHS), windows_cte(SINCE)),
+    "molecule_since_windows": query(molecule_windows(str(SINCE)), windows_cte(SINCE)),
     "key_checks": key_checks(),
     "loaded_key_checks": key_checks(),
     "monthly_sales": query(
@@ -601,3 +676,5 @@ ORACLE: dict[str, str] = {
         THEN CAST(1 + (SELECT count(*) FROM edges WHERE edge < inhabitants_per_outlet) AS INTEGER) END AS band
     FROM gap""",
 }
+
+ORACLE["report_committed"] = ORACLE["report_totals"]

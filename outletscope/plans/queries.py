@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -14,11 +15,13 @@ from outletscope.functions.numbers import from_cents, share_band
 from outletscope.functions.periods import month_key, trailing_months
 from outletscope.functions.text import capitalise, cut_text
 from outletscope.operators import areas as area_ops
-from outletscope.operators import calendar, display, launches, molecules, offers, outlets
+from outletscope.operators import calendar, display, launches, molecules, offers, outlets, windows
 from outletscope.operators.joins import in_period, sell
+from outletscope.plans import artefact
 from outletscope.plans import report as reports
 from outletscope.sources import star
 from outletscope.sources.domain import Domain, load_domain, null_keys
+from outletscope.sources.session import shared_folder
 from outletscope.sources.tables import summed_by_month
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +88,16 @@ def business_days(spark, directory):
     return calendar.business_days(order_days(spark, directory), star.HOLIDAYS)
 
 
+def business_calendar(spark, directory):
+    return calendar.business_calendar(order_days(spark, directory), star.holidays(spark, directory))
+
+
+def calendar_send_dates(spark, directory):
+    """Send dates by a table of holidays."""
+    planned = calendar.planned_days(order_months(spark, directory))
+    return calendar.rolled_forward(planned, star.holidays(spark, directory)).withColumnRenamed("business_day", "send_date")
+
+
 # --- tables ---------------------------------------------------------------------
 
 
@@ -206,6 +219,17 @@ def bands(spark, directory):
     return card.select("outlet_id", "molecule", "share", share_band(F.col("share")).alias("band"))
 
 
+def launch_windows(spark, directory):
+    first, _ = trailing_months(START, TRAILING_MONTHS)
+    return windows.launch_windows(star.load_star(spark, directory, first, END), LAB, START, END)
+
+
+def molecule_windows(spark, directory, n=TRAILING_MONTHS):
+    first, _ = trailing_months(SINCE, n or 1)
+    d = star.load_star(spark, directory, first, END)
+    return windows.molecule_windows(d, LAB, SINCE, END, n, star.RULES, star.PREFIXES)
+
+
 def left_join_on_predicate(spark, directory):
     """The price condition belongs to the join: unpriced sales count in quantity, not in value."""
     d = year(spark, directory)
@@ -304,6 +328,14 @@ def report_totals(spark, directory):
     return report.select(*[f.name for f in report.schema.fields if f.dataType.typeName() not in ("array", "boolean")])
 
 
+def report_committed(spark, directory):
+    """The totals of a report that was committed to a folder of its own and read back."""
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    artefact.commit_report(report_dataset(spark, directory), path, MONTH)
+    report = artefact.read_report(spark, path, MONTH)
+    return report.select(*[f.name for f in report.schema.fields if f.dataType.typeName() not in ("array", "boolean")])
+
+
 def run_status(spark, directory):
     return reports.run_status(reports.status_inputs(month(spark, directory), REPORT))
 
@@ -337,6 +369,8 @@ _QUERIES: dict[str, Query] = {
     "period_windows": period_windows,
     "send_dates": send_dates,
     "business_days": business_days,
+    "business_calendar": business_calendar,
+    "calendar_send_dates": calendar_send_dates,
     "key_checks": key_checks,
     "loaded_key_checks": loaded_key_checks,
     "monthly_sales": monthly_sales,
@@ -365,6 +399,9 @@ _QUERIES: dict[str, Query] = {
     "molecule_month": partial(molecule_card, start=MONTH, end=MONTH),
     "molecule_range": partial(molecule_card, start=START, end=END),
     "molecule_range_customers": partial(molecule_card, start=START, end=END, outlet_by="customer"),
+    "launch_windows": launch_windows,
+    "molecule_windows": molecule_windows,
+    "molecule_since_windows": partial(molecule_windows, n=None),
     "share_gap": share_gap,
     "share_band": bands,
     "left_join_on_predicate": left_join_on_predicate,
@@ -378,6 +415,7 @@ _QUERIES: dict[str, Query] = {
     "display_totals": display_totals,
     "report_flat": report_flat,
     "report_totals": report_totals,
+    "report_committed": report_committed,
     "run_status": run_status,
     "run_summary": run_summary,
     "error_text": error_text,

@@ -31,3 +31,8 @@ def local_session(cores: str, app: str, **settings: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the checkpoints', or the warehouse where there is none."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")

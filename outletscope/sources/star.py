@@ -225,6 +225,13 @@ def load_star(
     return Domain(lambda name: getattr(star, name)())
 
 
+def holidays(spark: SparkSession, directory: str) -> DataFrame:
+    """Holidays as a table: the days with orders that fall on the fixed list's day and month, in any year."""
+    day = F.col("o_orderdate").cast("date")
+    fixed = [f"{d:%m-%d}" for d in HOLIDAYS_2025]
+    return table(spark, directory, "orders").filter(F.date_format(day, "MM-dd").isin(fixed)).select(day.alias("day")).distinct()
+
+
 def areas(spark: SparkSession, directory: str) -> DataFrame:
     """area_id, population, outlets per nation: a hundred people per customer, an outlet per supplier."""
     customers = table(spark, directory, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
