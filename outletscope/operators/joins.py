@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from outletscope.operators.hot import split_join
+
 
 #: Places that articles are told by in the filter of a fact: its rows at most, at every size of the catalogue.
 PLACES = 1 << 20
@@ -25,18 +27,20 @@ def of_wanted(sales: DataFrame, items: DataFrame) -> DataFrame:
     return sales.join(F.broadcast(places), place(F.col("article_id")) == F.col("wanted_place"), "left_semi")
 
 
-def sell(sales: DataFrame, items: DataFrame, *by: str) -> DataFrame:
+def sell(sales: DataFrame, items: DataFrame, *by: str, hot: DataFrame | None = None) -> DataFrame:
     """Sales of the catalogue's articles, summed to outlet and article (and further columns of the sales, such as the
     month), with the catalogue's rows.
 
     One plan at every size. The fact is cut to the wanted articles where it is read; what is left is joined and summed
     in parts before it is shuffled on outlet and article, so a best-seller weighs as many rows as there are outlets. How
     the sums meet the catalogue is left to the optimizer. Every measure is linear in the quantity, so summing first
-    changes nothing.
+    changes nothing. ``hot``: articles (see ``hot.frequent``) whose sums are dealt over many tasks for that join.
     """
     kept = of_wanted(sales.select("outlet_id", "article_id", *by, "qty"), items)
     cells = kept.groupBy("outlet_id", "article_id", *by).agg(F.sum("qty").alias("qty"))
-    return cells.join(items, "article_id")
+    if hot is None:
+        return cells.join(items, "article_id")
+    return split_join(cells, items, "article_id", [F.col(c) for c in ("outlet_id", *by)], hot)
 
 
 def in_period(sales: DataFrame, start: int, end: int | None = None) -> DataFrame:

@@ -75,10 +75,10 @@ def originator_items(domain: Domain, focus_lab: str, as_of: date) -> DataFrame:
     )
 
 
-def sold_by(sales: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+def sold_by(sales: DataFrame, items: DataFrame, *keys: str, hot: DataFrame | None = None) -> DataFrame:
     """Quantity and value per outlet and catalogue key."""
     return (
-        sell(sales, items)
+        sell(sales, items, hot=hot)
         .groupBy("outlet_id", *keys)
         .agg(
             F.sum("qty").alias("qty"),
@@ -95,11 +95,13 @@ def top_switch(
     end: int | None = None,
     k: int = 10,
     items: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``k`` largest switches of each outlet by value. ``items``: their catalogue, if already at hand."""
+    """The ``k`` largest switches of each outlet by value. ``items``: their catalogue, if already at hand; ``hot``: articles
+    sold so often that their sums are dealt over many tasks."""
     items = switch_items(domain, focus_lab, as_of) if items is None else items
     keys = ("link_id", "label", "lab_name", "rebate")
-    sold = sold_by(in_period(domain.sales, start, end), items, *keys)
+    sold = sold_by(in_period(domain.sales, start, end), items, *keys, hot=hot)
     ties = [F.col(c).asc_nulls_last() for c in ("label", "lab_name", "rebate", "link_id")]
     return top_per_outlet(sold, k, F.col("value").desc_nulls_last(), *ties)
 
@@ -112,11 +114,12 @@ def top_originator(
     end: int | None = None,
     k: int = 5,
     items: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` largest originator sales of each outlet by value."""
     items = originator_items(domain, focus_lab, as_of) if items is None else items
     keys = ("link_id", "label", "lab_name")
-    sold = sold_by(in_period(domain.sales, start, end), items, *keys)
+    sold = sold_by(in_period(domain.sales, start, end), items, *keys, hot=hot)
     ties = [F.col(c).asc_nulls_last() for c in ("label", "lab_name", "link_id")]
     return top_per_outlet(sold, k, F.col("value").desc_nulls_last(), *ties)
 
@@ -126,20 +129,24 @@ def per_outlet_or_zero(domain: Domain, totals: DataFrame, *names: str) -> DataFr
     return filled.select("outlet_id", *[F.coalesce(c, F.lit(0)).cast("decimal(20,2)").alias(c) for c in names])
 
 
-def item_total(domain: Domain, items: DataFrame, start: int, end: int | None) -> DataFrame:
-    sold = sell(in_period(domain.sales, start, end), items.select("article_id", "cents"))
+def item_total(domain: Domain, items: DataFrame, start: int, end: int | None, hot: DataFrame | None = None) -> DataFrame:
+    sold = sell(in_period(domain.sales, start, end), items.select("article_id", "cents"), hot=hot)
     totals = sold.groupBy("outlet_id").agg(from_cents(F.sum(F.col("qty") * F.col("cents"))).alias("value"))
     return per_outlet_or_zero(domain, totals, "value")
 
 
-def switch_total(domain: Domain, focus_lab: str, as_of: date, start: int, end: int | None = None) -> DataFrame:
+def switch_total(
+    domain: Domain, focus_lab: str, as_of: date, start: int, end: int | None = None, hot: DataFrame | None = None
+) -> DataFrame:
     """Value of all switches of each outlet, 0 without any."""
-    return item_total(domain, switch_items(domain, focus_lab, as_of), start, end)
+    return item_total(domain, switch_items(domain, focus_lab, as_of), start, end, hot)
 
 
-def originator_total(domain: Domain, focus_lab: str, as_of: date, start: int, end: int | None = None) -> DataFrame:
+def originator_total(
+    domain: Domain, focus_lab: str, as_of: date, start: int, end: int | None = None, hot: DataFrame | None = None
+) -> DataFrame:
     """Value of all originator sales of each outlet, 0 without any."""
-    return item_total(domain, originator_items(domain, focus_lab, as_of), start, end)
+    return item_total(domain, originator_items(domain, focus_lab, as_of), start, end, hot)
 
 
 def margin_total(
@@ -150,6 +157,7 @@ def margin_total(
     end: int | None = None,
     switch: DataFrame | None = None,
     originator: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Both totals and their sum, from one pass over the sales."""
 
@@ -161,7 +169,7 @@ def margin_total(
     sides = side(switch, "switch_cents"), side(originator, "originator_cents")
     items = sides[0].unionByName(sides[1], allowMissingColumns=True)
     totals = (
-        sell(in_period(domain.sales, start, end), items)
+        sell(in_period(domain.sales, start, end), items, hot=hot)
         .groupBy("outlet_id")
         .agg(
             sum_or_zero(F.col("qty") * F.col("switch_cents")).alias("switch_cents"),

@@ -678,3 +678,21 @@ ORACLE: dict[str, str] = {
 }
 
 ORACLE["report_committed"] = ORACLE["report_totals"]
+ORACLE["bucketed_top_switch"] = ORACLE["split_top_switch"] = ORACLE["top_switch_customers"]
+ORACLE["split_top_originator"] = ORACLE["top_originator_customers"]
+ORACLE["split_margin_total"] = ORACLE["margin_total_customers"]
+ORACLE["observed_key_checks"] = f"SELECT * FROM ({ORACLE['key_checks']}) WHERE table_name = 'sales'"
+
+PART_NAMES = "SELECT p_partkey AS article_id, p_name || '#' || CAST(p_size AS VARCHAR) AS name FROM part"
+ORACLE["first_rules"] = f"""WITH named AS ({PART_NAMES}),
+rules AS (
+    SELECT p_partkey AS sort_order, split_part(p_name, ' ', 2) || '#' || CAST(p_size % 10 AS VARCHAR) AS include,
+        split_part(p_name, ' ', 1) AS exclude FROM part),
+first AS (
+    SELECT name, min(sort_order) AS sort_order FROM (SELECT DISTINCT name FROM named) n
+    JOIN rules ON contains(upper(name), upper(include)) AND NOT contains(upper(name), upper(exclude)) GROUP BY name)
+SELECT article_id, n.name, sort_order FROM named n LEFT JOIN first f ON f.name = n.name"""
+ORACLE["starting_with"] = f"""WITH named AS ({PART_NAMES}),
+prefixes AS (
+    SELECT DISTINCT substring(p_name, 1, length(split_part(p_name, ' ', 1)) + p_size - 47) AS prefix FROM part WHERE p_size >= 49)
+SELECT article_id, name FROM named WHERE EXISTS (SELECT 1 FROM prefixes WHERE starts_with(upper(name), upper(prefix)))"""

@@ -15,14 +15,16 @@ from outletscope.functions.numbers import from_cents, share_band
 from outletscope.functions.periods import month_key, trailing_months
 from outletscope.functions.text import capitalise, cut_text
 from outletscope.operators import areas as area_ops
-from outletscope.operators import calendar, display, launches, molecules, offers, outlets, windows
+from outletscope.operators import calendar, display, launches, molecules, offers, outlets, rules, windows
+from outletscope.operators.hot import frequent
 from outletscope.operators.joins import in_period, sell
 from outletscope.plans import artefact
 from outletscope.plans import report as reports
 from outletscope.sources import star
-from outletscope.sources.domain import Domain, load_domain, null_keys
+from outletscope.sources.domain import Domain, load_domain, null_keys, observed_keys, observed_nulls
+from outletscope.sources.layout import write_bucketed
 from outletscope.sources.session import shared_folder
-from outletscope.sources.tables import summed_by_month
+from outletscope.sources.tables import summed_by_month, write_monthly_sales
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +117,30 @@ def monthly_sales(spark, directory):
     return summed_by_month(star.load_star(spark, directory).sales)
 
 
+def observed_key_checks(spark, directory):
+    """NULL keys of the sales, counted by the job that stores them by month."""
+    domain, seen = observed_keys(star.load_star(spark, directory))
+    write_monthly_sales(domain.sales, f"{shared_folder(spark)}/sales-{uuid.uuid4().hex}")
+    return observed_nulls(spark, seen)
+
+
+def in_buckets(spark, directory, buckets=8) -> dict[str, DataFrame]:
+    """Lines and orders in tables of their own, bucketed on the order key."""
+    run = uuid.uuid4().hex
+    keys = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+    folder = f"{shared_folder(spark)}/buckets-{run}"
+    return {
+        name: write_bucketed(star.table(spark, directory, name), f"{name}_{run}", f"{folder}/{name}", key, buckets)
+        for name, key in keys.items()
+    }
+
+
+def bucketed_top_switch(spark, directory):
+    """Top switches from lines and orders that meet bucket by bucket."""
+    d = star.load_star(spark, directory, START, END, "customer", in_buckets(spark, directory))
+    return offers.top_switch(d, LAB, AS_OF, START, END)
+
+
 # --- outlets --------------------------------------------------------------------
 
 
@@ -193,6 +219,17 @@ def leakage_total(spark, directory, total, outlet_by="nation"):
     return total(year(spark, directory, outlet_by), LAB, AS_OF, START, END)
 
 
+def hot_articles(spark, directory) -> DataFrame:
+    lines = star.table(spark, directory, "lineitem")
+    return frequent(lines.select(F.col("l_partkey").alias("article_id")), "article_id")
+
+
+def split_query(spark, directory, operator):
+    """Sums of articles sold often are dealt over many tasks."""
+    hot = hot_articles(spark, directory)
+    return operator(year(spark, directory, "customer"), LAB, AS_OF, START, END, hot=hot)
+
+
 # --- scorecards -----------------------------------------------------------------
 
 
@@ -210,6 +247,29 @@ def molecule_card(spark, directory, start, end, outlet_by="nation"):
     return molecules.molecule_scorecard(d, LAB, start, end, star.RULES, star.PREFIXES)
 
 
+def part_names(spark, directory) -> DataFrame:
+    name = F.concat("p_name", F.lit("#"), F.col("p_size").cast("string"))
+    return star.table(spark, directory, "part").select(F.col("p_partkey").alias("article_id"), name.alias("name"))
+
+
+def first_rules(spark, directory):
+    """Each part's first rule, out of as many rules as there are parts."""
+    word = [F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2)]
+    include = F.concat(word[1], F.lit("#"), (F.col("p_size") % 10).cast("string"))
+    table = star.table(spark, directory, "part").select(
+        F.col("p_partkey").alias("sort_order"), include.alias("include"), word[0].alias("exclude")
+    )
+    return rules.first_rules(part_names(spark, directory), "name", table)
+
+
+def starting_with(spark, directory):
+    """Parts whose name starts like that of a large part, up to a letter of its second word or two."""
+    word = F.split_part("p_name", F.lit(" "), F.lit(1))
+    large = star.table(spark, directory, "part").filter("p_size >= 49")
+    prefix = F.substr("p_name", F.lit(1), F.char_length(word) + F.col("p_size") - F.lit(47))
+    return rules.starting_with(part_names(spark, directory), "name", large.select(prefix.alias("prefix")))
+
+
 def share_gap(spark, directory):
     return molecules.share_gap(molecule_card(spark, directory, START, END))
 
@@ -374,6 +434,7 @@ _QUERIES: dict[str, Query] = {
     "key_checks": key_checks,
     "loaded_key_checks": loaded_key_checks,
     "monthly_sales": monthly_sales,
+    "observed_key_checks": observed_key_checks,
     "outlet_labels": outlet_labels,
     "outlet_labels_customers": partial(outlet_labels, outlet_by="customer"),
     "wanted_labels": wanted_labels,
@@ -393,9 +454,15 @@ _QUERIES: dict[str, Query] = {
     "originator_total": partial(leakage_total, total=offers.originator_total),
     "margin_total": partial(leakage_total, total=offers.margin_total),
     "margin_total_customers": partial(leakage_total, total=offers.margin_total, outlet_by="customer"),
+    "bucketed_top_switch": bucketed_top_switch,
+    "split_top_switch": partial(split_query, operator=offers.top_switch),
+    "split_top_originator": partial(split_query, operator=offers.top_originator),
+    "split_margin_total": partial(split_query, operator=offers.margin_total),
     "launch_scorecard": launch_scorecard,
     "launch_scorecard_customers": partial(launch_scorecard, outlet_by="customer"),
     "molecule_class": molecule_class,
+    "first_rules": first_rules,
+    "starting_with": starting_with,
     "molecule_month": partial(molecule_card, start=MONTH, end=MONTH),
     "molecule_range": partial(molecule_card, start=START, end=END),
     "molecule_range_customers": partial(molecule_card, start=START, end=END, outlet_by="customer"),

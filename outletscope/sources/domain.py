@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
@@ -114,3 +114,21 @@ def null_keys(domain: Domain) -> DataFrame:
         return counts.select(F.lit(table).alias("table_name"), "rows", F.inline(pairs))
 
     return reduce(DataFrame.unionByName, [counted(table) for table in SCHEMAS])
+
+
+def observed_keys(domain: Domain, table: str = "sales") -> tuple[Domain, Observation]:
+    """The domain with a table whose rows and NULL keys are counted by the very job that reads it.
+
+    ``observed_nulls`` gives the counts once an action has read the table to its end.
+    """
+    seen = Observation(f"keys of {table}")
+    nulls = [F.count_if(F.col(k).isNull()).alias(k) for k in key_columns(table)]
+    return domain.replaced(**{table: domain.table(table).observe(seen, F.count("*").alias("rows"), *nulls)}), seen
+
+
+def observed_nulls(spark: SparkSession, seen: Observation, table: str = "sales") -> DataFrame:
+    """What ``null_keys`` gives for the table, out of the counts of the job that read it: a row per key column."""
+    counts = seen.get
+    pairs = [F.struct(F.lit(k).alias("key_column"), F.lit(counts[k]).cast("bigint").alias("nulls")) for k in key_columns(table)]
+    rows = F.lit(counts["rows"]).cast("bigint").alias("rows")
+    return spark.range(1).select(F.lit(table).alias("table_name"), rows, F.inline(F.array(*pairs)))

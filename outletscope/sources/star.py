@@ -6,6 +6,7 @@ Sales stay at line level: the operators add them up.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,13 +60,19 @@ class Star:
     """One method per domain table; facts are limited to the months ``start`` to ``end``."""
 
     def __init__(
-        self, spark: SparkSession, directory: str, start: int | None, end: int | None, outlet_by: str
+        self,
+        spark: SparkSession,
+        directory: str,
+        start: int | None,
+        end: int | None,
+        outlet_by: str,
+        tables: Mapping[str, DataFrame] = {},
     ):
         self.spark, self.directory, self.start, self.end = spark, directory, start, end
-        self.by_customer = outlet_by == "customer"
+        self.tables, self.by_customer = tables, outlet_by == "customer"
 
     def table(self, name: str) -> DataFrame:
-        return table(self.spark, self.directory, name)
+        return self.tables[name] if name in self.tables else table(self.spark, self.directory, name)
 
     # --- facts
 
@@ -219,9 +226,10 @@ def load_star(
     start: int | None = None,
     end: int | None = None,
     outlet_by: str = "nation",
+    tables: Mapping[str, DataFrame] = {},
 ) -> Domain:
-    """The domain over the star schema; ``outlet_by`` is ``"nation"`` or ``"customer"``."""
-    star = Star(spark, directory, start, end, outlet_by)
+    """The domain over the star schema; ``outlet_by`` is ``"nation"`` or ``"customer"``, ``tables`` are read instead of files."""
+    star = Star(spark, directory, start, end, outlet_by, tables)
     return Domain(lambda name: getattr(star, name)())
 
 
