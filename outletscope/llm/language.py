@@ -10,13 +10,14 @@ counts, languages x 2**BITS numbers, are the model. Prediction reads the text on
 
 Cases: a null text, or one without a letter, is "und" with score 0. So is every text if nothing was learned (an empty
 table, no labels). With one learned language every other text has it, with score 1. Null ids and null languages teach
-nothing; repeated rows count as often as they occur. Other columns are not read.
+nothing; repeated rows count as often as they occur. A very long text is read whole, in stretches, so that it takes little
+more memory than it has itself. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outletscope.llm.common import checkpointed, held_out, sampled, slices
-from outletscope.llm.ngrams import ngram_rows
+from outletscope.llm.ngrams import ngram_rows, ngram_stretches
 
 UNKNOWN = "und"
 TRAIN_ROWS = 20_000
 ORDERS, BITS = (2, 3), 14
 SMOOTHING = 0.5
-#: Characters handled at once.
+#: Characters handled at once; a longer text is added up by stretches of so many.
 AT_ONCE = 1 << 19
 #: Loss by which the second codeword must be farther, per unit of weight.
 MARGIN = 0.05
@@ -75,14 +76,28 @@ class Model:
 
     def margins(self, texts: list[str]) -> np.ndarray:
         """Mean log odds per text and bit."""
+        total, n = np.zeros((len(texts), self.codes.shape[1])), np.zeros(len(texts))
+        long = np.array([len(t) > AT_ONCE for t in texts], dtype=bool)
+        total[~long], n[~long] = self._sums([t for t, is_long in zip(texts, long) if not is_long])
+        for i in np.flatnonzero(long):
+            for found in ngram_stretches(texts[i], ORDERS, BITS, True, AT_ONCE):
+                for weights, (buckets, counted) in zip(self.weights, found):
+                    total[i] += weights[buckets[counted]].sum(axis=0, dtype=np.float64)
+                    n[i] += counted.sum()
+        return total / np.maximum(n, 1)[:, None]
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds per text and bit, added up, and the n-grams that count; all texts at once."""
         total = np.zeros((len(texts), self.codes.shape[1]), dtype=np.float64)
         n = np.zeros(len(texts))
+        if not texts:
+            return total, n
         for weights, (buckets, bounds, counted) in zip(self.weights, ngram_rows(texts, ORDERS, BITS, True)):
             scores = weights[buckets] * counted[:, None]
             sums = np.add.reduceat(np.concatenate([scores, np.zeros((1, scores.shape[1]), np.float32)]), bounds, axis=0, dtype=np.float64)
             total += sums
             n += np.add.reduceat(np.append(counted, False).astype(np.int64), bounds)
-        return total / np.maximum(n, 1)[:, None]
+        return total, n
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Weighted loss of each language's codeword."""
@@ -113,8 +128,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_language.setdefault(language, []).append(text)
         for language, texts in by_language.items():
             held = counts.setdefault(language, np.zeros((len(ORDERS), 1 << BITS), np.int64))
-            for i, (buckets, _, counted) in enumerate(ngram_rows(texts, ORDERS, BITS, True)):
-                held[i] += np.bincount(buckets[counted], minlength=1 << BITS)
+            short = [t for t in texts if len(t) <= AT_ONCE]
+            parts = [[(b, c) for b, _, c in ngram_rows(short, ORDERS, BITS, True)]] if short else []
+            long = (part for t in texts if len(t) > AT_ONCE for part in ngram_stretches(t, ORDERS, BITS, True, AT_ONCE))
+            for part in chain(parts, long):
+                for i, (buckets, counted) in enumerate(part):
+                    held[i] += np.bincount(buckets[counted], minlength=1 << BITS)
     yield pa.RecordBatch.from_pydict(
         {"lang": pa.array(list(counts), pa.string()), "counts": pa.array([c.tobytes() for c in counts.values()], pa.binary())}
     )

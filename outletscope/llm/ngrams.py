@@ -46,6 +46,25 @@ def hashed(units: np.ndarray, order: int, bits: int) -> np.ndarray:
     return ((total * PLACES[0]) >> np.uint32(32 - bits)).astype(np.int32)
 
 
+def ngram_stretches(text: str, orders: tuple[int, ...], bits: int, letters_only: bool, chars: int):
+    """The buckets of all n-grams of one text and which count, as in ngram_rows, a stretch of so many code points at once.
+
+    Each stretch gives a list with an entry per order, of the n-grams that begin in it.
+    """
+    whole = f" {text} "
+    for first in range(0, len(whole), chars):
+        units = codes([whole[first : first + chars + max(orders) - 1]], letters_only)[0][1:-1]
+        blank = units == SPACE
+        found = []
+        for order in orders:
+            n = min(chars, max(0, len(units) - order + 1))
+            counts = np.zeros(n, bool)
+            for place in range(order):
+                counts |= ~blank[place : place + n]
+            found.append((hashed(units, order, bits)[:n] if n else np.zeros(0, np.int32), counts))
+        yield found
+
+
 def ngram_rows(texts: list[str], orders: tuple[int, ...], bits: int, letters_only: bool):
     """For each order: the buckets of all n-grams, where each text's n-grams begin, and which n-grams count.
 
