@@ -24,17 +24,28 @@ def frequent(df: DataFrame, key: str, k: int = FREQUENT, tracked: int = TRACKED)
 
 
 def split_join(
-    left: DataFrame, right: DataFrame, key: str, by: list[Column], hot: DataFrame, salts: int = SALTS, how: str = "inner"
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    by: list[Column],
+    hot: DataFrame,
+    salts: int = SALTS,
+    how: str = "inner",
+    hint: str | None = None,
 ) -> DataFrame:
     """``left.join(right, key, how)`` for an inner, left or semi join; rows of hot keys are dealt over ``salts`` parts.
 
     ``hot`` holds FREQUENT keys at most. A left row of a hot key goes to the part that ``by`` says, the right rows of
     that key go to every part; so each left row meets each of its right rows once, whichever keys are called hot. ``by``
     should tell the left rows of a key apart. Null keys stay where a plain join has them.
+
+    ``hint``: the join strategy; ``merge`` where rows made by an explode meet, which the optimizer doesn't count and
+    would broadcast by the size of the table they come from.
     """
     marks = F.broadcast(hot.select(key).distinct().withColumn("_hot", F.lit(True)))
     is_hot, other = F.col("_hot").isNotNull(), F.lit(0).cast("bigint")
     dealt = left.join(marks, key, "left").withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(other))
     parts = F.when(is_hot, F.sequence(other, F.lit(salts - 1).cast("bigint"))).otherwise(F.array(other))
     repeated = right.join(marks, key, "left").withColumn("_part", F.explode(parts))
-    return dealt.drop("_hot").join(repeated.drop("_hot"), [key, "_part"], how).drop("_part")
+    met = repeated.drop("_hot")
+    return dealt.drop("_hot").join(met.hint(hint) if hint else met, [key, "_part"], how).drop("_part")

@@ -31,8 +31,10 @@ def _folded(name: str) -> Column:
 def first_rules(df: DataFrame, name: str, rules: DataFrame) -> DataFrame:
     """``df`` with ``sort_order``: of the first rule whose ``include`` the name contains and whose ``exclude`` it does not.
 
-    ``rules``: sort_order, include, exclude. A rule is looked up by the rarest of its pieces among the names, so a common
+    ``rules``: sort_order, include, exclude. Of rules with the same texts only the first can be a name's first, so names
+    meet as many rules as there are texts. A rule is looked up by the rarest of its pieces among the names, so a common
     syllable makes no task long; pieces that are frequent all the same (a rule of one letter) are dealt over many tasks.
+    Pieces come from an explode, so they meet by merge joins: nothing that grows with names or rules is broadcast.
     """
     names = df.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct().withColumn("folded", _folded("name"))
     every = F.flatten(F.array(*[_pieces(F.col("folded"), n) for n in range(1, GRAM + 1)]))
@@ -40,19 +42,19 @@ def first_rules(df: DataFrame, name: str, rules: DataFrame) -> DataFrame:
     counts = held.groupBy("piece").agg(F.count("*").alias("names"))
 
     texts = rules.select("sort_order", _folded("include").alias("include"), F.coalesce(_folded("exclude"), F.lit("")).alias("exclude"))
-    texts = texts.filter("include <> ''").distinct()
+    texts = texts.filter("include <> ''").groupBy("include", "exclude").agg(F.min("sort_order").alias("sort_order"))
     own = F.when(F.char_length("include") < GRAM, F.array("include")).otherwise(_pieces(F.col("include"), GRAM))
     rarest = F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "piece"))
     looked_up = (
         texts.withColumn("piece", F.explode(F.array_distinct(own)))
-        .join(counts, "piece", "left")
+        .join(counts.hint("merge"), "piece", "left")
         .groupBy("sort_order", "include", "exclude")
         .agg(rarest.alias("rarest"))
         .select("sort_order", "include", "exclude", "rarest.*")
         .filter("names > 0")
     )
     hot = looked_up.select("piece", "names").distinct().orderBy(F.desc("names"), "piece").limit(FREQUENT).select("piece")
-    met = split_join(held, looked_up.drop("names"), "piece", [F.col("name")], hot)
+    met = split_join(held, looked_up.drop("names"), "piece", [F.col("name")], hot, hint="merge")
     holds = F.contains("folded", "include") & ((F.col("exclude") == "") | ~F.contains("folded", "exclude"))
     first = met.filter(holds).groupBy("name").agg(F.min("sort_order").alias("sort_order"))
     return df.join(first.withColumnRenamed("name", name), name, "left").select(*df.columns, "sort_order")

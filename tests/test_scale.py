@@ -133,6 +133,28 @@ def test_ten_thousand_rules_make_no_longer_plan(spark):
     assert rows(many.filter("sort_order IS NOT NULL")) == rows(expected) == rows(few.filter("sort_order IS NOT NULL"))
 
 
+def test_rules_with_the_same_texts_meet_names_once(spark, monkeypatch):
+    """Names meet as many rules as there are texts; rows out of an explode are never broadcast by the table's size."""
+    met = []
+    meet = rules.split_join
+    monkeypatch.setattr(rules, "split_join", lambda left, right, *a, **b: met.append(right) or meet(left, right, *a, **b))
+    names = spark.range(300).select(F.col("id"), F.format_string("ring#%d", F.col("id") % 30).alias("name"))
+    nth = F.col("id") % 10
+    table = spark.range(1000).select(
+        (F.lit(2000) - F.col("id")).alias("sort_order"),
+        F.format_string("RING#%d", nth).alias("include"),
+        F.when(nth == 2, "#21").alias("exclude"),
+    )
+    found = rules.first_rules(names, "name", table)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    on_pieces = [line for line in plan.splitlines() if "HashJoin" in line and ("_part" in line or "[names#" in line)]
+    assert not on_pieces and any("SortMergeJoin" in line and "_part" in line for line in plan.splitlines()), plan
+    digit = F.substr("name", F.lit(6), F.lit(1)).cast("bigint")
+    first = F.when(F.col("name") != "ring#21", F.lit(1010) - digit).alias("sort_order")
+    assert rows(found) == rows(names.select("id", "name", first))
+    assert met[0].count() == 10
+
+
 # --- buckets
 
 
