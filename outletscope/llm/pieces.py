@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The distinct words of a batch are concatenated and indexed by a suffix array, sorted as deep as the longest piece.
-Binary search finds every piece's range of occurrences; the occurrences, as edges from their first character, are
-sorted by position and relaxed: in each round every word joins its best-scoring edge that spans two neighbours (ties to
-the left), until none is left. That is how the byte-pair vocabulary defines its segmentation, so the ids equal the
+Binary search finds every piece's range of occurrences; the occurrences are laid out by position and length, as edges
+from their first character, and relaxed: in each round every word joins its best-scoring edge that spans two neighbours
+(ties to the left), until none is left. That is how the byte-pair vocabulary defines its segmentation, so the ids equal the
 library's. Characters without a piece become byte pieces.
 
 The vocabulary never joins across the beginning of a word (a blank behind something else), which is checked when it is
@@ -35,7 +35,7 @@ BLANK = "▁"
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Characters of distinct words indexed at once; a longer word is indexed alone.
 INDEXED = 1 << 18
-#: Words remembered per process, and the longest of them.
+#: Words remembered per process in each of two generations, and the longest of them.
 REMEMBERED, LONG_WORD = 200_000, 64
 NONE = np.int64(1) << 40
 
@@ -104,9 +104,8 @@ def edges(text: str, vocabulary: Vocabulary) -> np.ndarray:
     piece = np.repeat(np.arange(len(low)), many)
     position = order[np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
     length = np.char.str_len(vocabulary.texts)[piece]
-    place = np.argsort(position * depth + length, kind="stable")
     table = np.full((len(codes), depth), -1, dtype=np.int32)
-    table[position[place], length[place] - 1] = vocabulary.ids[piece[place]]
+    table[position, length - 1] = vocabulary.ids[piece]
     return table
 
 
@@ -192,13 +191,18 @@ def relaxed_long(table: np.ndarray, rank: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Codec:
-    """Encoder and decoder with a bounded memory of words; loaded once per process."""
+    """Encoder and decoder with a bounded memory of words; loaded once per process.
+
+    A full memory becomes the older one, from which a word that comes again is taken over; so frequent words stay and
+    the others are forgotten.
+    """
 
     loaded: dict[str, Codec] = {}
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Codec:
@@ -257,12 +261,14 @@ class Codec:
         """The ids of each text as packed 32-bit numbers."""
         split = [WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         distinct = set().union(*split)
-        new = self._learn(distinct - self.known.keys())
-        found = {w: self.known[w] for w in distinct if w in self.known} | new
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        if len(new) <= REMEMBERED:
-            self.known.update((w, i) for w, i in new.items() if len(w) <= LONG_WORD)
+        found = {w: self.known[w] for w in distinct if w in self.known}
+        again = {w: self.older[w] for w in distinct if w in self.older and w not in found}
+        fresh = again | self._learn(distinct.difference(found, again))
+        found |= fresh
+        if len(fresh) <= REMEMBERED:
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known.update((w, i) for w, i in fresh.items() if len(w) <= LONG_WORD)
         return [b"".join(map(found.__getitem__, words)) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:

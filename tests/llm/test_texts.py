@@ -37,6 +37,18 @@ def test_pieces_of_random_texts(texts):
     assert ids(texts) == [LIBRARY.encode(t) if t else [] for t in texts]
 
 
+def test_frequent_words_stay_in_a_full_memory(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 8)
+    codec, learned = pieces.Codec(pieces.VOCABULARY), []
+    learn = codec._learn
+    monkeypatch.setattr(codec, "_learn", lambda words: learned.extend(words) or learn(words))
+    for i in range(12):
+        texts = [f"the ring of no{i}", f"of the x{i} " + "y" * 80]
+        assert [np.frombuffer(x, np.int32).tolist() for x in codec.encode(texts)] == [LIBRARY.encode(t) for t in texts]
+        assert max(len(codec.known), len(codec.older)) <= 8
+    assert [learned.count(w) for w in ("▁the", "▁of", "▁ring")] == [1, 1, 1]
+
+
 def test_long_words_use_overlapping_stretches(monkeypatch):
     monkeypatch.setattr(pieces, "INDEXED", 50)
     text = "".join(random.Random(4).choices("theandinger", k=700))
